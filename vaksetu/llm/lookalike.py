@@ -56,7 +56,7 @@ SPACES = r"[\t\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
 LINE_ENDS = r"\r\n|[\r\x{0B}\x{0C}\x{1C}-\x{1F}\x{85}\x{2028}\x{2029}]"
 ARABIC_LETTER = r"[\x{620}-\x{64A}\x{66E}-\x{6D3}]"
 #: Stands for a joiner inside an emoji while the others are removed (a private-use character).
-KEPT_JOINER = ""
+KEPT_JOINER = "\uE000"
 #: Compatibility forms that print as their usual characters; superscripts, circled, squared figures and fractions are none.
 FORMS = ((0xFF01, 0xFFEE), (0xFB00, 0xFB06), (0xFB13, 0xFB17), (0xFB1D, 0xFDEF), (0xFE30, 0xFEFC), (0x2E80, 0x2FDF), (0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2160, 0x217F), (0xB5, 0xB5), (0x2024, 0x2024))
 
@@ -82,13 +82,13 @@ def compatibility_forms() -> dict[str, str]:
 def form_sql(column: str, found: set[str]) -> str:
     """The readable form as an SQL expression; found: the characters above U+007F that the batch holds, so that only
     the replacements it needs are in the expression."""
-    x = f"regexp_replace({column}, {_quoted(LINE_ENDS)}, chr(10), 'g')" if found & set("\x0b\x0c\r\x1c\x1d\x1e\x1f\x85  ") else column
-    x = f"regexp_replace({x}, '\\x{{FE0F}}', '', 'g')" if "️" in found else x
-    if "‍" in found:
+    x = f"regexp_replace({column}, {_quoted(LINE_ENDS)}, chr(10), 'g')" if found & set("\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u2028\u2029") else column
+    x = f"regexp_replace({x}, '\\x{{FE0F}}', '', 'g')" if "\ufe0f" in found else x
+    if "\u200d" in found:
         for _ in range(2):  # neighbours share an emoji, so every other joiner is found at a time
             x = f"regexp_replace({x}, '({EMOJI})\\x{{200D}}({EMOJI})', '\\1{KEPT_JOINER}\\2', 'g')"
     x = f"regexp_replace(regexp_replace({x}, '{INVISIBLE}', '', 'g'), '{SPACES}', ' ', 'g')"
-    x = f"replace({x}, '{KEPT_JOINER}', chr(8205))" if "‍" in found else x
+    x = f"replace({x}, '{KEPT_JOINER}', chr(8205))" if "\u200d" in found else x
     forms = {c: u for c, u in compatibility_forms().items() if c in found}
     if single := {c: u for c, u in forms.items() if len(u) == 1}:
         x = f"translate({x}, {_quoted(''.join(single))}, {_quoted(''.join(single.values()))})"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import lookalike, neardup, packing, tokens
+from . import lookalike, neardup, packing, sentences, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,18 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.article_groups(table(spark, sf_dir, "processed"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of the rows of sentence_rows, with statistics learned from all rows."""
+    rows = table(spark, sf_dir, "processed").select("row_id", "text")
+    wanted = table(spark, sf_dir, "sentence_rows").select("row_id").distinct()
+    return sentences.split_sentences(rows.join(wanted, "row_id", "left_semi"), rows)
+
+
+def p4_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The abbreviations, sentence starters and collocations of each language."""
+    return sentences.model_rows(table(spark, sf_dir, "processed"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document."""
     return tokens.encoded(table(spark, sf_dir, "documents"))
@@ -58,6 +70,6 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.select("doc_id", "form", F.hex("skeleton_key").alias("skeleton_key"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_groups, p6_ids, p6_round_trip, p7_packs, p7_fill, p8_found, p8_forms)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_groups, p4_found, p4_learned, p6_ids, p6_round_trip, p7_packs, p7_fill, p8_found, p8_forms)}
 
 SQL: dict[str, str] = {}
