@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +50,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once a session, for clusters whose executors do not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_vaksetu_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for path in sorted(here.rglob("*.py")):
+            archive.write(path, path.relative_to(here.parent))
+    # the driver's own scratch folder: Spark serves the file to the executors from there
+    target = Path(tempfile.mkdtemp(prefix="vaksetu-code-")) / "vaksetu.zip"
+    target.write_bytes(packed.getvalue())
+    context.addPyFile(str(target))
+    context._vaksetu_shipped = True
