@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import lookalike, neardup, packing, sentences, tokens
+from . import lookalike, neardup, overlap, packing, sentences, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,23 @@ def p4_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.model_rows(table(spark, sf_dir, "processed"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a training and an evaluation row that overlap."""
+    pairs = overlap.overlaps(table(spark, sf_dir, "processed"))
+    return pairs.select(F.least("t", "e").alias("row_id_a"), F.greatest("t", "e").alias("row_id_b"))
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps by evaluation split and source."""
+    rows = table(spark, sf_dir, "processed")
+    return overlap.overlap_counts(overlap.overlaps(rows), rows)
+
+
+def p5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each evaluation row training texts cover."""
+    return overlap.coverage(table(spark, sf_dir, "processed"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document."""
     return tokens.encoded(table(spark, sf_dir, "documents"))
@@ -70,6 +87,6 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.select("doc_id", "form", F.hex("skeleton_key").alias("skeleton_key"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_groups, p4_found, p4_learned, p6_ids, p6_round_trip, p7_packs, p7_fill, p8_found, p8_forms)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_groups, p4_found, p4_learned, p5_found, p5_counts, p5_coverage, p6_ids, p6_round_trip, p7_packs, p7_fill, p8_found, p8_forms)}
 
 SQL: dict[str, str] = {}

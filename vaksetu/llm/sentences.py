@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import BROADCAST_ROWS
+from ..runtime import BROADCAST_ROWS, cut
 from .language import LanguageGuesser
 from .neardup import blocks
 
@@ -124,7 +124,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for one, two in zip(pieces, pieces[1:]):
                         if one[-1] in SURE:
                             starts[lang][_kind(two)] += 1
-        if sum(map(len, plain.values())) + sum(map(len, pairs.values())) > 600_000:  # only bounds a worker's memory
+        if sum(map(len, plain.values())) + sum(map(len, pairs.values())) > 250_000:  # only bounds a worker's memory
             yield from rows()
     yield from rows()
 
@@ -317,7 +317,8 @@ class Splitter:
 
 
 def model_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
-    return learn(statistics(df, text_col))
+    """What ``learn`` finds in the texts; the counts are read several times, so they are cut first."""
+    return learn(cut(statistics(df, text_col)))
 
 
 def _as_model(rows: list) -> dict[str, dict[str, set]]:
@@ -349,8 +350,6 @@ def split_sentences(df: DataFrame, corpus: DataFrame, id_col: str = "row_id", te
     The learned words reach the workers as one object. They are those of closed lists (short abbreviations, openers with a
     significant ratio); their number is counted first, and beyond the bound of a broadcast an error says so.
     """
-    from ..runtime import cut
-
     learned = cut(model_rows(corpus, text_col))
     if (n := learned.count()) > BROADCAST_ROWS:
         raise ValueError(f"{n} learned words are more than a broadcast may have; raise ABBREVIATION or STARTER")
