@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import lookalike, neardup, overlap, packing, sentences, tokens
+from . import lookalike, neardup, overlap, packing, quality, sentences, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,23 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.article_groups(table(spark, sf_dir, "processed"))
 
 
+def _qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "processed").select("row_id", "text")
+    common = quality.common_words(table(spark, sf_dir, "common_words"))
+    profiles = quality.labelled_profiles(rows, table(spark, sf_dir, "quality_labels"), common)
+    return quality.statistics(rows, profiles, common)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that are no prose, with their kind."""
+    return _qualities(spark, sf_dir).where("kind <> 'prose'").select("row_id", "kind")
+
+
+def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures and the kind of every row."""
+    return _qualities(spark, sf_dir)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of the rows of sentence_rows, with statistics learned from all rows."""
     rows = table(spark, sf_dir, "processed").select("row_id", "text")
@@ -87,6 +104,6 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.select("doc_id", "form", F.hex("skeleton_key").alias("skeleton_key"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_groups, p4_found, p4_learned, p5_found, p5_counts, p5_coverage, p6_ids, p6_round_trip, p7_packs, p7_fill, p8_found, p8_forms)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_groups, p2_found, p2_statistics, p4_found, p4_learned, p5_found, p5_counts, p5_coverage, p6_ids, p6_round_trip, p7_packs, p7_fill, p8_found, p8_forms)}
 
 SQL: dict[str, str] = {}
