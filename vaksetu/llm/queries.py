@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import lookalike, neardup, overlap, packing, quality, sentences, tokens
+from . import defects, lookalike, neardup, overlap, packing, quality, sentences, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,25 @@ def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _qualities(spark, sf_dir)
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "processed").select("row_id", "text", "summary")
+    common = quality.common_words(table(spark, sf_dir, "common_words"))
+    profiles = quality.labelled_profiles(rows, table(spark, sf_dir, "quality_labels"), common)
+    return defects.judged(rows, profiles, common)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows with a defective summary and the first defect that holds."""
+    return _judged(spark, sf_dir).where(F.size("defects") > 0).select("row_id", F.col("defects")[0].alias("defect"))
+
+
+def p3_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All defects of every defective row, with their posteriors."""
+    found = _judged(spark, sf_dir).where(F.size("defects") > 0)
+    pairs = F.filter(F.array(*(F.struct(F.lit(d).alias("defect"), F.col(d).alias("posterior")) for d in defects.DEFECTS)), lambda x: F.array_contains(F.col("defects"), x["defect"]))
+    return found.select("row_id", F.explode(pairs).alias("x")).select("row_id", "x.defect", F.round("x.posterior", 6).alias("posterior"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of the rows of sentence_rows, with statistics learned from all rows."""
     rows = table(spark, sf_dir, "processed").select("row_id", "text")
@@ -104,6 +123,6 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.select("doc_id", "form", F.hex("skeleton_key").alias("skeleton_key"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_groups, p2_found, p2_statistics, p4_found, p4_learned, p5_found, p5_counts, p5_coverage, p6_ids, p6_round_trip, p7_packs, p7_fill, p8_found, p8_forms)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_groups, p2_found, p2_statistics, p3_found, p3_labels, p4_found, p4_learned, p5_found, p5_counts, p5_coverage, p6_ids, p6_round_trip, p7_packs, p7_fill, p8_found, p8_forms)}
 
 SQL: dict[str, str] = {}
