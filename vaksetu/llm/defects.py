@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
-from .language import OF_SCRIPT, LanguageGuesser, decide
+from .language import OF_SCRIPT, EvidenceHasher, decide
 from .neardup import blocks
 from .quality import Analyser, nearest
-from .words import WordHasher, words
+from .words import words
 
 DEFECTS = ("empty", "refusal", "copy", "wrong_language", "truncated")
 #: Posteriors above which a row has a defect; validated on the hand-made cases of tests/llm/test_defects.py.
@@ -56,6 +56,12 @@ META = re.compile(
 APOLOGY = re.compile(
     r"^\W*(?:sorry|i['’]?m sorry|i am sorry|apologies|i apologi[sz]e|unfortunately|regrettably|माफ़ (?:कीजिए|करें|कीजिएगा)|माफ (?:कीजिए|करें|करा)|क्षमा (?:करें|कीजिए|चाहता|चाहती)|खेद है|मुझे खेद|मुझे माफ़|दुर्भाग्य|क्षमस्व|দুঃখিত|ক্ষমা|মাফ|معذرت|معاف|افسوس|抱歉|对不起|很抱歉|不好意思|申し訳|すみません|恐れ入り)", re.I
 )
+# Each alternative of the two patterns above has one of these words, or is in a script without spaces.
+TRIGGERS = set(
+    "i we unable not my me may request article ai assistant model language summary summarise summarize summarises summarizes summaries condense comply i'm summarised summarized "
+    "मैं मुझे मुझसे हम अनुरोध संक्षेप सारांश टिप्पणी सहायक मॉडल एआई मी मला विनंती सहाय्यक আমি আমার অনুরোধ সারাংশ সহকারী میں مجھے درخواست خلاصہ معاون".split()
+)
+UNSPACED = re.compile("[\u3040-\u9fff]")
 # Words that a sentence of these languages does not end with.
 DANGLING = set(
     "the a an of to and or in on at by for with from that as but than its their his her this between after before under over has have had is are was were be been will says said "
@@ -134,41 +140,47 @@ def endings(df: DataFrame, summary_col: str = "summary") -> DataFrame:
     return df.select(summary_col).mapInArrow(count, "h bigint, seen bigint, marked bigint").groupBy("h").agg(F.sum("seen").alias("seen"), F.sum("marked").alias("marked"))
 
 
-#: The last word, or the last two characters of scripts without spaces, before an end mark.
-FINAL = r"([^\\s।॥۔。！？!?|.,;:]{2})[。！？]|([^\\s।॥۔。！？!?|.,;:()\"“”«»]+)\\s?[।॥۔|.!?؟]+[\"”»)]*(?=\\s|$)"
+#: Where sentences end, for counting their last words: sure marks, bars, and periods before white space and no figure or small letter.
+SENTENCE_ENDS = r"[।॥۔。！？!?؟|]+|\.(?=\s+[^\s0-9०-९a-z]|\s*$)"
+QUOTES = "\"'“”«»‘’()[]「」『』,;:"
 #: Words that end so many sentences of the articles may end a summary.
 FINAL_TIMES = 5
 
 
 def final_words(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(w, finals): how many sentences of the articles end with a word, by built-in functions alone."""
-    found = F.flatten(F.array(*(F.expr(f"regexp_extract_all({text_col}, r'{FINAL.replace(chr(92) * 2, chr(92))}', {g})") for g in (1, 2))))
-    words_ = df.where(F.col(text_col).isNotNull()).select(F.explode(found).alias("w")).where("w <> ''").select(F.lower("w").alias("w"))
-    return words_.groupBy("w").agg(F.count("*").alias("finals")).where("finals >= 2")
+    parts = F.split(F.translate(text_col, QUOTES, ""), SENTENCE_ENDS)
+    # what follows the last mark ends no sentence
+    whole = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    last = F.transform(whole, lambda s: F.substring_index(F.rtrim(s), " ", -1))
+    found = df.where(F.col(text_col).isNotNull()).select(F.explode(last).alias("w")).where("w <> ''").select(F.lower("w").alias("w"))
+    unspaced = F.col("w").rlike("[\u3040-\u9fff]$")
+    return found.select(F.when(unspaced, F.substring("w", -2, 2)).otherwise(F.col("w")).alias("w")).groupBy("w").agg(F.count("*").alias("finals")).where("finals >= 2")
 
 
 def _final(summary: str | None) -> str | None:
     """The last word of a summary as ``final_words`` has it."""
+    summary = (summary or "").translate(str.maketrans("", "", QUOTES))
     core = re.sub(r"[\s।॥۔。！？!?|.,;:…()\"“”«»'’\-–—،؟]+$", "", summary or "").lower()
     if not core:
         return None
     if 0x3040 <= ord(core[-1]) <= 0x9FFF:
         return core[-2:]
-    return re.split(r"[\s।॥۔!?|.,;:()\"“”«»]", core)[-1] or None
+    return core.split()[-1]
 
 
 def _row_votes(profiles: list, common: set[str], id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        guesser, hasher, analyser = LanguageGuesser(), WordHasher(), Analyser(common)
+        hasher, analyser = EvidenceHasher(), Analyser(common)
         for batch in batches:
             for block in blocks(batch):
                 texts, summaries = block.column(1).to_pylist(), block.column(2).to_pylist()
-                t_hash, t_at = hasher.batch(texts)
-                s_hash, s_at = hasher.batch(summaries)
+                t_hash, t_at, t_lang = hasher.batch_with_evidence(texts)
+                s_hash, s_at, s_lang = hasher.batch_with_evidence(summaries)
                 out: dict[str, list] = {name: [] for name in ("h2", "h1", "hs", "w", "short", *VOTES)}
                 for n, (text, summary) in enumerate(zip(texts, summaries, strict=True)):
                     own = words(summary)
-                    votes = _votes(text, summary, own, t_hash[t_at[n] : t_at[n + 1]], s_hash[s_at[n] : s_at[n + 1]], guesser, analyser, profiles)
+                    votes = _votes(text, summary, own, t_hash[t_at[n] : t_at[n + 1]], s_hash[s_at[n] : s_at[n + 1]], t_lang[n], s_lang[n], analyser, profiles)
                     last = _sentences_of(summary or "")
                     tail = last[-1][0] if last else []
                     out["h2"].append(_hash(*tail[-2:]) if len(tail) > 1 else None)
@@ -186,16 +198,18 @@ def _row_votes(profiles: list, common: set[str], id_col: str):
     return run
 
 
-def _votes(text, summary, own: list[str], t: np.ndarray, s: np.ndarray, guesser: LanguageGuesser, analyser: Analyser, profiles: list) -> dict[str, int]:
+def _votes(text, summary, own: list[str], t: np.ndarray, s: np.ndarray, of_text: tuple, of_summary: tuple, analyser: Analyser, profiles: list) -> dict[str, int]:
     """The votes that a row alone decides."""
     votes: dict[str, int] = {}
     raw = (summary or "").strip()
     votes["empty.no_words"] = 1 if not own else -1
     votes["empty.placeholder"] = 1 if " ".join(own) in PLACEHOLDERS else -1 if len(own) > 2 else 0
     votes["empty.in_brackets"] = 1 if re.fullmatch(r"[\[(<{【（《][^\])>}】）》]*[\])>}】）》]", raw) and len(own) <= 4 else -1 if len(own) > 2 else 0
-    first = bool(REFUSAL.search(raw))
+    # the patterns are long; a summary without any of their key words is spared them
+    maybe = not TRIGGERS.isdisjoint(own) or bool(UNSPACED.search(raw))
+    first = maybe and bool(REFUSAL.search(raw))
     votes["refusal.first_person"] = 1 if first else -1
-    votes["refusal.about_summaries"] = 1 if META.search(raw) and own else 0 if first else -1
+    votes["refusal.about_summaries"] = 1 if maybe and META.search(raw) else 0 if first else -1
     votes["refusal.apology"] = 1 if APOLOGY.search(raw) else 0 if first else -1
     if len(s) and len(t):
         where, needle = t.tobytes(), s.tobytes()
@@ -209,7 +223,6 @@ def _votes(text, summary, own: list[str], t: np.ndarray, s: np.ndarray, guesser:
         votes["copy.run_of_words"] = votes["copy.runs_in_text"] = -1
     votes["wrong_language.script"] = votes["wrong_language.function_words"] = -1  # no language, none that differs
     if own and text:
-        of_text, of_summary = guesser.evidence(text), guesser.evidence(raw)
         lt, ls = decide(*of_text), decide(*of_summary)
         if lt and ls:
             script = {lang: name for name, langs in OF_SCRIPT.items() for lang in langs}
@@ -255,7 +268,7 @@ def vote_table(df: DataFrame, profiles: list, common: set[str], id_col: str = "r
     known_word = F.coalesce(F.col("seen1"), F.lit(1)) >= SEEN
     votes = {
         "truncated_ending": F.when(F.col("h2").isNull(), 0).otherwise(by_pair),
-        "truncated_final_word": F.when(F.col("w").isNull(), 0).when(finals >= FINAL_TIMES, -1).when((finals == 0) & (by_word == 1), 1).otherwise(0),
+        "truncated_final_word": F.when(F.col("w").isNull(), 0).when((finals >= FINAL_TIMES) & (by_word != 1), -1).when((finals < FINAL_TIMES) & (by_word == 1), 1).otherwise(0),
         "truncated_unknown_word": F.when(F.col("h1").isNull(), 0).when(~known_word & (finals < FINAL_TIMES), 1).when((by_word == -1) | (finals >= FINAL_TIMES), -1).otherwise(0),
         "empty_shared_short": F.when(F.col("n").isNotNull() & F.col("short"), 1).when(F.col("short"), 0).otherwise(-1),
         "refusal_shared": F.when(F.col("n").isNotNull() & F.col("short"), 1).when(F.col("short"), 0).otherwise(-1),

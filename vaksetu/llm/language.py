@@ -6,7 +6,9 @@ function words. Null, blank and symbol-only texts have language None.
 
 from __future__ import annotations
 
-from .words import CACHE_LENGTH, CACHE_WORDS, words
+import numpy as np
+
+from .words import CACHE_LENGTH, CACHE_WORDS, WordHasher, words
 
 # First and last code point of the scripts that matter, and what letters of them say.
 SCRIPTS = (
@@ -95,6 +97,44 @@ class LanguageGuesser:
         return decide(scripts, hits)
 
 
+class EvidenceHasher(WordHasher):
+    """Word hashes and the evidence of language of the same texts, over whole batches."""
+
+    def __init__(self) -> None:
+        self.guesser = LanguageGuesser()
+        self.languages = tuple(FUNCTION_WORDS)
+        super().__init__()
+
+    def _reset(self) -> None:
+        super()._reset()
+        self.rows: list[np.ndarray] = []
+        self.table = np.zeros((0, len(SCRIPT_NAMES) + len(self.languages)), np.int32)
+
+    def met(self, piece: str, found: list[str]) -> None:
+        letters, hits, _ = self.guesser._piece(piece)
+        row = np.zeros(self.table.shape[1], np.int32)
+        for script, n in letters.items():
+            row[script] = n
+        for lang in hits:
+            row[len(SCRIPT_NAMES) + self.languages.index(lang)] += 1
+        self.rows.append(row)
+
+    def batch_with_evidence(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[tuple[dict[str, int], dict[str, int]]]]:
+        """(hashes, offsets, evidence of each text)."""
+        index, counts = self.index(texts)
+        if self.rows:
+            self.table = np.concatenate([self.table, np.array(self.rows, np.int32)])
+            self.rows = []
+        sums = np.concatenate([np.zeros((1, self.table.shape[1]), np.int64), np.cumsum(self.table[index], axis=0)])
+        ends = np.cumsum(counts)
+        each = sums[ends[1:]] - sums[ends[:-1]]
+        split, evidence = len(SCRIPT_NAMES), []
+        for row in each:
+            some = np.flatnonzero(row)
+            evidence.append(({SCRIPT_NAMES[k]: int(row[k]) for k in some if k < split}, {self.languages[k - split]: int(row[k]) for k in some if k >= split}))
+        return *self.hashed(index, counts), evidence
+
+
 def decide(scripts: dict[str, int], hits: dict[str, int]) -> str | None:
     if not scripts:
         return None

@@ -66,7 +66,9 @@ class WordHasher:
 
         class Pieces(dict):
             def __missing__(self, piece: str) -> int:
-                hashes = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words(piece)]
+                found = words(piece)
+                hashes = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in found]
+                hasher.met(piece, found)
                 at = len(hasher.starts)
                 hasher.starts.append(len(hasher.pool))
                 hasher.pool.extend(hashes)
@@ -76,8 +78,15 @@ class WordHasher:
 
         self.pieces, self.starts, self.pool = Pieces(), [], []
 
+    def met(self, piece: str, found: list[str]) -> None:
+        """Called for each new piece; for subclasses that keep more about pieces."""
+
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of all words, offsets of the texts in them)."""
+        return self.hashed(*self.index(texts))
+
+    def index(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all pieces, pieces of each text after a leading 0)."""
         if len(self.starts) > CACHE_WORDS:
             self._reset()
         at: list[int] = []
@@ -88,7 +97,9 @@ class WordHasher:
                 got = list(map(get, text.split()))
                 counts[n + 1] = len(got)
                 at.extend(got)
-        index = np.array(at, np.int64)
+        return np.array(at, np.int64), counts
+
+    def hashed(self, index: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = np.array([*self.starts, len(self.pool)], np.int64)
         pool = np.array(self.pool, U64)
         begin, size = starts[index], starts[index + 1] - starts[index]
