@@ -236,6 +236,7 @@ def _votes(text, summary, own: list[str], t: np.ndarray, s: np.ndarray, of_text:
                 # both sides must show their own language and not the other's
                 shown = of_text[1].get(lt, 0) >= 3 and of_text[1].get(lt, 0) >= 2 * of_text[1].get(ls, 0) and of_summary[1].get(ls, 0) >= 2 and of_summary[1].get(ls, 0) > of_summary[1].get(lt, 0)
                 votes["wrong_language.function_words"] = 1 if shown else 0
+                votes["wrong_language.script"] = 0 if shown else -1  # one script for both: it says nothing
             else:
                 votes["wrong_language.function_words"] = -1 if lt == ls else 1 if of_summary[1].get(ls, 0) or script[ls] in ("han", "kana") else 0
         if 1 in (votes.get("wrong_language.script"), votes.get("wrong_language.function_words")) and nearest(analyser.analyse(text)[1], profiles)[0] == "junk":
