@@ -42,7 +42,7 @@ SAME_SHAPE = {
 # Sequences that print as one letter.
 SAME_SEQUENCE = {
     "अा": "आ", "अो": "ओ", "अौ": "औ", "अॉ": "ऑ", "आॅ": "ऑ", "आे": "ओ", "आै": "औ", "एे": "ऐ", "ाे": "ो", "ाै": "ौ", "ाॅ": "ॉ", "अॅ": "ॲ",
-    "অা": "আ", "یٔ": "ئ", "ۂ": "ۂ",
+    "অা": "আ", "\u06cc\u0654": "\u0626",
 }
 # Letters whose shape depends on what follows: (letter, becomes, only before another letter).
 JOINED_SHAPE = (("ي", "ی", True), ("ى", "ی", False))

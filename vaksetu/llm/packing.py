@@ -23,7 +23,13 @@ SLICES = 64
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """[(lengths in one pack, number of packs)] for {length: count}, lengths 1..capacity.
+    """[(lengths in one pack, number of packs)] for {length: count}, lengths 1..capacity: new packs are opened for one item each, or
+    for as many of a length as fit, whichever ends with fewer packs (smaller items are needed to fill the former)."""
+    return min((_placed(histogram, capacity, together) for together in (False, True)), key=lambda found: sum(c for _, c in found))
+
+
+def _placed(histogram: dict[int, int], capacity: int, together: bool) -> list[tuple[tuple[int, ...], int]]:
+    """Lengths longest first, each into the shortest open pattern that has room.
 
     Open patterns are kept by their filled size; the shortest comes first. A pattern whose packs outnumber the items is
     split, so the number of patterns grows by at most one a step.
@@ -42,8 +48,12 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
         while left:
             at = fills[0] if fills and fills[0] + length <= capacity else None
             if at is None:
-                # nothing open fits: as many new packs as the items need, filled up with this length as the last resort only
-                put(length, (length,), left)
+                # nothing open fits
+                each = capacity // length if together else 1
+                if left >= each:
+                    put(length * each, (length,) * each, left // each)
+                if left % each:
+                    put(length * (left % each), (length,) * (left % each), 1)
                 break
             pattern, count = by_fill[at].pop()
             if not by_fill[at]:
@@ -54,7 +64,51 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
                 put(at, pattern, count - used)
             put(at + length, (*pattern, length), used)
             left -= used
-    return sorted((p, c) for packs in by_fill.values() for p, c in packs)
+    return _joined([(p, c) for packs in by_fill.values() for p, c in packs], capacity)
+
+
+def _joined(patterns: list[tuple[tuple[int, ...], int]], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns with packs that fit into one another put together, fullest first with the fullest that fits, until none fit: items
+    whose lengths are alike all open packs of their own before."""
+    while True:
+        by_fill: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+        for pattern, count in sorted(patterns):
+            by_fill.setdefault(sum(pattern), []).append((pattern, count))
+        fills = sorted(by_fill)
+        done: list[tuple[tuple[int, ...], int]] = []
+        merged = False
+        while fills:
+            fill = fills[-1]
+            pattern, count = by_fill[fill].pop()
+            if not by_fill[fill]:
+                fills.pop()
+            at = bisect.bisect_right(fills, capacity - fill) - 1
+            if at >= 0:
+                other = fills[at]
+                partner, times = by_fill[other].pop()
+                used = min(count, times)
+                if times > used:
+                    by_fill[other].append((partner, times - used))
+                elif not by_fill[other]:
+                    fills.pop(at)
+                done.append((tuple(sorted((*pattern, *partner), reverse=True)), used))
+                merged = True
+                count -= used
+            elif 2 * fill <= capacity and count > 1:
+                done.append((tuple(sorted(pattern * 2, reverse=True)), count // 2))
+                merged = True
+                count %= 2
+            else:
+                done.append((pattern, count))
+                count = 0
+            if count:
+                if fill not in fills:
+                    bisect.insort(fills, fill)
+                    by_fill[fill] = []
+                by_fill[fill].append((pattern, count))
+        patterns = done
+        if not merged:
+            return sorted(patterns)
 
 
 def _assignments(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
