@@ -79,7 +79,7 @@ SEEN, COMPLETE, INCOMPLETE = 6, 0.12, 0.03
 
 # Functions of each defect: (name, chance of a vote for it given the defect, given none, chance of a vote against it given the defect, given none)
 FUNCTIONS: dict[str, tuple[tuple[str, float, float, float, float], ...]] = {
-    "empty": (("no_words", 0.60, 0.0001, 0.01, 0.50), ("placeholder", 0.50, 0.0002, 0.01, 0.50), ("in_brackets", 0.25, 0.001, 0.02, 0.30), ("shared_short", 0.60, 0.01, 0.05, 0.50)),
+    "empty": (("no_words", 0.60, 0.0001, 0.39, 0.99), ("placeholder", 0.35, 0.0002, 0.05, 0.95), ("in_brackets", 0.20, 0.001, 0.10, 0.90), ("shared_short", 0.60, 0.01, 0.02, 0.85)),
     "refusal": (("first_person", 0.90, 0.001, 0.02, 0.90), ("about_summaries", 0.60, 0.003, 0.10, 0.50), ("apology", 0.30, 0.001, 0.05, 0.30), ("shared", 0.40, 0.01, 0.05, 0.30)),
     "copy": (("run_of_words", 0.999, 0.0001, 0.0001, 0.999), ("runs_in_text", 0.97, 0.01, 0.01, 0.90)),
     "wrong_language": (("script", 0.75, 0.0005, 0.02, 0.90), ("function_words", 0.90, 0.001, 0.02, 0.80), ("unreadable_text", 0.0001, 0.0001, 0.0001, 0.03)),

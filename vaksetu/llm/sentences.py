@@ -230,13 +230,13 @@ class Splitter:
         while j and not line[j - 1].isspace() and line[j - 1] not in STRIP:
             j -= 1
         kind = line[j:i].lower().lstrip(SURE + "|")
-        letters = [c for c in kind if c.isalpha()]
-        return kind, bool(letters) and (kind in learned.get("a", ()) or len(letters) == 1 and "." not in kind and len(kind) <= 3 and not any(c.isdigit() for c in kind))
+        # an initial is one bare letter: with a vowel sign it is a word
+        return kind, kind in learned.get("a", ()) or len(kind) == 1 and kind.isalpha()
 
     def _uses(self, text: str, learned: dict[str, set]) -> tuple[bool, bool]:
         """Whether the row ends sentences with periods, and with bars."""
         others = sum(text.count(c) for c in "।॥۔。｡．")
-        bars = len(re.findall(r"[^\W\d_][ऀ-ःऺ-ॏঁ-ঃ়-ৗ]* ?\|(?=\s|$|[^\W\d_])", text))
+        bars = len(re.findall(r"[^\W\d_][ऀ-ःऺ-ॏঁ-ঃ়-ৗ]* ?\|(?=\s|$|[^\W\d_]|[\"'”’»)\]“«(])", text))
         periods = 0
         for m in re.finditer(r"(?<![.\s])\s?\.(?![.\w])", text):
             i = m.end() - 1
