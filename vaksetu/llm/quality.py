@@ -315,5 +315,7 @@ def statistics(df: DataFrame, profiles: list[tuple[str, np.ndarray]], common: se
 
 
 def common_words(table: DataFrame) -> set[str]:
-    """The words of the fixed table common_words (125 rows)."""
-    return {w for r in table.select("word").where("word IS NOT NULL").distinct().collect() for w in words(r["word"])}
+    """The words of the fixed table common_words (125 rows). An entry that is several words here (of scripts whose characters are
+    words) counts for none of them."""
+    found = [words(r["word"]) for r in table.select("word").where("word IS NOT NULL").distinct().collect()]
+    return {w[0] for w in found if len(w) == 1}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import defects, lookalike, neardup, overlap, packing, quality, sentences, tokens
+from . import defects, lookalike, neardup, overlap, packing, quality, sentences, sql, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _qualities(spark, sf_dir).where("kind <> 'prose'").select("row_id", "kind")
 
 
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of every row alone, rounded."""
+    found = _qualities(spark, sf_dir)
+    return found.select("row_id", "word_count", *(F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "punctuated_lines", "common_share")))
+
+
 def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The figures and the kind of every row."""
     return _qualities(spark, sf_dir)
@@ -123,6 +129,6 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.select("doc_id", "form", F.hex("skeleton_key").alias("skeleton_key"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_groups, p2_found, p2_statistics, p3_found, p3_labels, p4_found, p4_learned, p5_found, p5_counts, p5_coverage, p6_ids, p6_round_trip, p7_packs, p7_fill, p8_found, p8_forms)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_groups, p2_found, p2_counts, p2_statistics, p3_found, p3_labels, p4_found, p4_learned, p5_found, p5_counts, p5_coverage, p6_ids, p6_round_trip, p7_packs, p7_fill, p8_found, p8_forms)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p1_found": sql.P1_FOUND, "p2_counts": sql.P2_COUNTS, "p5_found": sql.P5_FOUND, "p8_found": sql.P8_FOUND}
