@@ -250,3 +250,31 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("request_id long, texts array<string>, method string, num_sentences int").parquet(str(tmp_path / "in"))
     answer_stream(stream, "lead", str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
     assert [r.summaries for r in spark.read.json(str(tmp_path / "out")).collect()] == [["दिल्ली में आज भारी बारिश हुई।"]]
+
+
+def test_generation_metrics(spark):
+    names = F.create_map(*(F.lit(x) for pair in ((0, "<pad>"), (1, "क"), (2, "ख"), (3, "</s>")) for x in pair))
+    rows = spark.createDataFrame([([1, 2, 3], [1, 2, 3, -100]), ([1, 3], [2, 3, -100, -100])], "predicted array<int>, labels array<int>")
+    found = sequence.generation_metrics(rows, lambda ids: F.array_join(F.transform(ids, lambda i: F.element_at(names, i)), " "), 0).first()
+    assert (found.rouge1, found.rougeL, found.gen_words) == (0.5, 0.5, 1.5)
+    assert sequence.generation_metrics(rows.limit(0), lambda ids: F.array_join(ids.cast("array<string>"), " "), 0).first().rouge1 == 0.0
+
+
+def test_settings_and_devices():
+    pinned = sequence.GenerationSettings().pinned(sequence.SpecialIds())
+    assert pinned["forced_eos_token_id"] == 64001 and pinned["decoder_start_token_id"] == 64006 and pinned["num_beams"] == 4
+    assert sequence.pick_device(None) == "cpu" and sequence.pick_device(None, ("mps", "cuda")) == "cuda" and sequence.pick_device("mps") == "mps"
+    assert metrics.timed(lambda: 5, 10)["result"] == 5
+
+
+def test_archive(tmp_path):
+    import tarfile
+
+    from vaksetu.sources.archive import unpacked
+
+    (tmp_path / "train.jsonl").write_text("{}")
+    with tarfile.open(tmp_path / "a.tar.bz2", "w:bz2") as tar:
+        tar.add(tmp_path / "train.jsonl", "train.jsonl")
+    folder = str(tmp_path / "raw")
+    assert (tmp_path / "raw" / "train.jsonl").exists() is False
+    assert unpacked(str(tmp_path / "a.tar.bz2"), folder) == folder == unpacked("missing", folder)

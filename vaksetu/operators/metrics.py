@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -112,6 +113,14 @@ def bootstrap_exact(scores: DataFrame, values: tuple[str, ...] = ("rouge1", "rou
     return scores.select(by, order, *values).groupBy(by).applyInPandas(one, f"`{by}` string, metric string, low double, high double")
 
 
+def timed(action: Callable[[], object], examples: int) -> dict:
+    """The result of an action, its seconds and its examples a second."""
+    began = time.perf_counter()
+    result = action()
+    seconds = time.perf_counter() - began
+    return {"result": result, "seconds": round(seconds, 1), "examples_per_second": round(examples / seconds, 2) if seconds else None}
+
+
 def bertscore(df: DataFrame, scorer, prediction: str = "prediction", reference: str = "reference") -> DataFrame:
     """Rows with precision, recall and f1 of a pluggable scorer ``(predictions, references) -> [(p, r, f), ...]``; the model is the caller's."""
 

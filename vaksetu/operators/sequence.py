@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import threading
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -44,6 +44,14 @@ class GenerationSettings:
     length_penalty: float = 1.0
     early_stopping: bool = True
 
+    def pinned(self, special: SpecialIds) -> dict:
+        """The settings with the ids that generation must use: it starts with the language mark and is made to end."""
+        return {**asdict(self), "pad_token_id": special.pad, "bos_token_id": special.bos, "eos_token_id": special.eos, "decoder_start_token_id": special.language, "forced_eos_token_id": special.eos}
+
+
+#: Settings of the comparison run with another published model.
+COMPARISON = GenerationSettings(max_target_length=84, no_repeat_ngram_size=2)
+
 
 class BatchSummarizer(Protocol):
     def summarize(self, texts: list[str], batch_size: int = 8) -> list[str]: ...
@@ -91,6 +99,30 @@ def training_steps(examples: int, batch_size: int, accumulation: int, epochs: fl
     return {"per_epoch": per_epoch, "total": total, "eval_steps": min(eval_steps, total), "warmup": int(total * warmup_ratio)}
 
 
+def pick_device(requested: str | None, available: tuple[str, ...] = ()) -> str:
+    """What was asked for, or else the best that is there. Across executors Spark's resource scheduling decides."""
+    return requested or next((d for d in ("cuda", "mps") if d in available), "cpu")
+
+
+def generation_metrics(df: DataFrame, decode: Callable[[Column], Column], pad: int, predicted: str = "predicted", labels: str = "labels") -> DataFrame:
+    """One row of mean rouge1, rouge2, rougeL and gen_words of generated ids against label ids; ignored ids are pads on both sides.
+    decode makes a text of an id array (a Column function of the caller's tokenizer)."""
+    from .metrics import scored
+
+    texts = df.select(T.clean_output(decode(unmask(predicted, pad))).alias("prediction"), T.clean_output(decode(unmask(labels, pad))).alias("reference"))
+    scores = scored(texts).withColumn("gen_words", F.size(T.whitespace_words("prediction")))
+    return scores.agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("rouge1", "rouge2", "rougeL", "gen_words")))
+
+
+def fine_tune(train: Callable, processes: int, *arguments, gpu: bool = False):
+    """Runs a training function of the caller's on the cluster's processes; needs torch."""
+    try:
+        from pyspark.ml.torch.distributor import TorchDistributor
+    except ImportError as error:
+        raise RuntimeError("training needs torch") from error
+    return TorchDistributor(num_processes=processes, local_mode=False, use_gpu=gpu).run(train, *arguments)
+
+
 class ModelRegistry:
     """A model for each name, made on first use, once a process."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import random
 import tempfile
 import zipfile
 from pathlib import Path
@@ -67,3 +68,11 @@ def ship(spark: SparkSession) -> None:
     target.write_bytes(packed.getvalue())
     context.addPyFile(str(target))
     context._vaksetu_shipped = True
+
+
+def set_seed(seed: int = 42) -> None:
+    """Seeds Python and numpy on the driver; operators take their seeds as arguments."""
+    import numpy as np
+
+    random.seed(seed)
+    np.random.seed(seed)
