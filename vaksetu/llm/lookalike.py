@@ -37,7 +37,7 @@ SAME_SHAPE = {
     # signs
     "ः": ":", "∶": ":", "։": ":", "׃": ":", "‐": "-", "‑": "-", "∣": "|", "∕": "/", "⁄": "/", "ʼ": "’", "‚": ",", "⋅": "·", "∙": "·", "‧": "·",
     # kana and Han
-    "ニ": "二", "ロ": "口", "カ": "力", "ハ": "八", "エ": "工", "ト": "卜", "タ": "夕", "ヘ": "へ", "ー": "一", "〇": "○",
+    "ニ": "二", "ロ": "口", "カ": "力", "ハ": "八", "エ": "工", "ト": "卜", "タ": "夕", "ヘ": "へ", "ー": "一", "〇": "○", "靑": "青",
 }
 # Sequences that print as one letter.
 SAME_SEQUENCE = {
