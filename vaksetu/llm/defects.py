@@ -94,6 +94,10 @@ def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+#: Sets the hashes of words that end sentences of articles apart.
+FINAL = "\x1e"
+
+
 def _number_free(word: str) -> str:
     return "#" if word.isdigit() else word
 
@@ -110,8 +114,9 @@ def _sentences_of(summary: str) -> list[tuple[list[str], bool]]:
     return out
 
 
-def endings(df: DataFrame, summary_col: str = "summary") -> DataFrame:
-    """(h, seen, marked): how often each word and pair of words stands in the summaries, and with an end mark right behind."""
+def endings(df: DataFrame, text_col: str = "text", summary_col: str = "summary") -> DataFrame:
+    """(h, seen, marked): how often each word and pair of words stands in the summaries, and with an end mark right behind; and how
+    often each word ends a sentence of the articles (seen alone, under a hash of its own)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -133,40 +138,36 @@ def endings(df: DataFrame, summary_col: str = "summary") -> DataFrame:
                             marked[one[-1]] += 1
                             if two:
                                 marked[two[-1]] += 1
+                for text in block.column(1).to_pylist():
+                    # what follows the last mark ends no sentence
+                    seen.update([(FINAL, w) for part in SENTENCE_ENDS.split(text or "")[:-1] if (w := _last_word(part))])
             if len(seen) > 400_000:  # only bounds a worker's memory
                 yield from rows()
         yield from rows()
 
-    return df.select(summary_col).mapInArrow(count, "h bigint, seen bigint, marked bigint").groupBy("h").agg(F.sum("seen").alias("seen"), F.sum("marked").alias("marked"))
+    return df.select(summary_col, text_col).mapInArrow(count, "h bigint, seen bigint, marked bigint").groupBy("h").agg(F.sum("seen").alias("seen"), F.sum("marked").alias("marked"))
 
 
 #: Where sentences end, for counting their last words: sure marks, bars, and periods before white space and no figure or small letter.
-SENTENCE_ENDS = r"[।॥۔。！？!?؟|]+|\.(?=\s+[^\s0-9०-९a-z]|\s*$)"
-QUOTES = "\"'“”«»‘’()[]「」『』,;:"
+SENTENCE_ENDS = re.compile(r"[।॥۔。！？!?؟|]+|\.(?=\s+[^\s0-9०-९a-z]|\s*$)")
+QUOTES = str.maketrans("", "", "\"'“”«»‘’()[]「」『』,;:")
 #: Words that end so many sentences of the articles may end a summary.
 FINAL_TIMES = 5
 
 
-def final_words(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(w, finals): how many sentences of the articles end with a word, by built-in functions alone."""
-    parts = F.split(F.translate(text_col, QUOTES, ""), SENTENCE_ENDS)
-    # what follows the last mark ends no sentence
-    whole = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    last = F.transform(whole, lambda s: F.substring_index(F.rtrim(s), " ", -1))
-    found = df.where(F.col(text_col).isNotNull()).select(F.explode(last).alias("w")).where("w <> ''").select(F.lower("w").alias("w"))
-    unspaced = F.col("w").rlike("[\u3040-\u9fff]$")
-    return found.select(F.when(unspaced, F.substring("w", -2, 2)).otherwise(F.col("w")).alias("w")).groupBy("w").agg(F.count("*").alias("finals")).where("finals >= 2")
+def _last_word(stretch: str) -> str | None:
+    """The last word of a stretch of text without its marks; of scripts without spaces, the last two characters."""
+    stretch = stretch[-80:] if len(stretch) > 80 else stretch  # a word is shorter
+    piece = stretch.split()[-1:]
+    word = piece[0].translate(QUOTES).lower() if piece else ""
+    if not word:
+        return None
+    return word[-2:] if "\u3040" <= word[-1] <= "\u9fff" else word
 
 
 def _final(summary: str | None) -> str | None:
-    """The last word of a summary as ``final_words`` has it."""
-    summary = (summary or "").translate(str.maketrans("", "", QUOTES))
-    core = re.sub(r"[\s।॥۔。！？!?|.,;:…()\"“”«»'’\-–—،؟]+$", "", summary or "").lower()
-    if not core:
-        return None
-    if 0x3040 <= ord(core[-1]) <= 0x9FFF:
-        return core[-2:]
-    return core.split()[-1]
+    """The last word of a summary, as those of the articles' sentences are counted."""
+    return _last_word(re.sub(r"[\s।॥۔。！？!?|.,;:…()\"“”«»'’\-–—،؟]+$", "", summary or ""))
 
 
 def _row_votes(profiles: list, common: set[str], id_col: str):
@@ -177,7 +178,7 @@ def _row_votes(profiles: list, common: set[str], id_col: str):
                 texts, summaries = block.column(1).to_pylist(), block.column(2).to_pylist()
                 t_hash, t_at, t_lang = hasher.batch_with_evidence(texts)
                 s_hash, s_at, s_lang = hasher.batch_with_evidence(summaries)
-                out: dict[str, list] = {name: [] for name in ("h2", "h1", "hs", "w", "short", *VOTES)}
+                out: dict[str, list] = {name: [] for name in ("h2", "h1", "hs", "hf", "short", *VOTES)}
                 for n, (text, summary) in enumerate(zip(texts, summaries, strict=True)):
                     own = words(summary)
                     votes = _votes(text, summary, own, t_hash[t_at[n] : t_at[n + 1]], s_hash[s_at[n] : s_at[n + 1]], t_lang[n], s_lang[n], analyser, profiles)
@@ -186,13 +187,13 @@ def _row_votes(profiles: list, common: set[str], id_col: str):
                     out["h2"].append(_hash(*tail[-2:]) if len(tail) > 1 else None)
                     out["h1"].append(_hash(tail[-1]) if tail else None)
                     out["hs"].append(_hash("s", *own) if own else None)
-                    out["w"].append(_final(summary))
+                    out["hf"].append(_hash(FINAL, w) if (w := _final(summary)) else None)
                     out["short"].append(len(own) <= SHORT)
                     for name in VOTES:
                         out[name].append(votes.get(name, 0))
                 yield pa.RecordBatch.from_arrays(
-                    [block.column(0), *(pa.array(out[c], pa.int64()) for c in ("h2", "h1", "hs")), pa.array(out["w"], pa.string()), pa.array(out["short"], pa.bool_()), *(pa.array(out[v], pa.int8()) for v in VOTES)],
-                    names=[id_col, "h2", "h1", "hs", "w", "short", *(v.replace(".", "_") for v in VOTES)],
+                    [block.column(0), *(pa.array(out[c], pa.int64()) for c in ("h2", "h1", "hs", "hf")), pa.array(out["short"], pa.bool_()), *(pa.array(out[v], pa.int8()) for v in VOTES)],
+                    names=[id_col, "h2", "h1", "hs", "hf", "short", *(v.replace(".", "_") for v in VOTES)],
                 )
 
     return run
@@ -217,7 +218,8 @@ def _votes(text, summary, own: list[str], t: np.ndarray, s: np.ndarray, of_text:
         while at >= 0 and at % 8:
             at = where.find(needle, at + 1)
         votes["copy.run_of_words"] = 1 if at >= 0 else -1
-        known = np.isin(s, t).mean()
+        there = set(t.tolist())
+        known = sum(x in there for x in s.tolist()) / len(s)
         votes["copy.runs_in_text"] = 1 if known >= 0.999 else -1 if known < 0.9 else 0
     else:
         votes["copy.run_of_words"] = votes["copy.runs_in_text"] = -1
@@ -252,14 +254,15 @@ def vote_table(df: DataFrame, profiles: list, common: set[str], id_col: str = "r
     """(id_col, a column of -1, 0 or 1 for each function)."""
     kind = df.schema[id_col].dataType.simpleString()
     columns = [v.replace(".", "_") for v in VOTES]
-    schema = f"`{id_col}` {kind}, h2 bigint, h1 bigint, hs bigint, w string, short boolean, " + ", ".join(f"{c} tinyint" for c in columns)
+    schema = f"`{id_col}` {kind}, h2 bigint, h1 bigint, hs bigint, hf bigint, short boolean, " + ", ".join(f"{c} tinyint" for c in columns)
     rows = cut(df.select(id_col, text_col, summary_col).mapInArrow(_row_votes(profiles, common, id_col), schema))
-    known = cut(endings(df, summary_col).where("seen >= 2"))  # an ending seen once is unknown
+    known = cut(endings(df, text_col, summary_col).where("seen >= 2"))  # an ending seen once is unknown
     # only what short summaries share is asked for, so a group is counted, never gathered
     shared = rows.where("short AND hs IS NOT NULL").groupBy("hs").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
     two = known.select(F.col("h").alias("h2"), F.col("seen").alias("seen2"), F.col("marked").alias("marked2"))
     one = known.select(F.col("h").alias("h1"), F.col("seen").alias("seen1"), F.col("marked").alias("marked1"))
-    joined = rows.join(two, "h2", "left").join(one, "h1", "left").join(shared, "hs", "left").join(final_words(df, text_col), "w", "left")
+    last = known.select(F.col("h").alias("hf"), F.col("seen").alias("finals"))
+    joined = rows.join(two, "h2", "left").join(one, "h1", "left").join(shared, "hs", "left").join(last, "hf", "left")
 
     def rate(seen: str, marked: str) -> Column:
         share = F.col(marked) / F.col(seen)
@@ -269,7 +272,7 @@ def vote_table(df: DataFrame, profiles: list, common: set[str], id_col: str = "r
     known_word = F.coalesce(F.col("seen1"), F.lit(1)) >= SEEN
     votes = {
         "truncated_ending": F.when(F.col("h2").isNull(), 0).otherwise(by_pair),
-        "truncated_final_word": F.when(F.col("w").isNull(), 0).when((finals >= FINAL_TIMES) & (by_word != 1), -1).when((finals < FINAL_TIMES) & (by_word == 1), 1).otherwise(0),
+        "truncated_final_word": F.when(F.col("hf").isNull(), 0).when((finals >= FINAL_TIMES) & (by_word != 1), -1).when((finals < FINAL_TIMES) & (by_word == 1), 1).otherwise(0),
         "truncated_unknown_word": F.when(F.col("h1").isNull(), 0).when(~known_word & (finals < FINAL_TIMES), 1).when((by_word == -1) | (finals >= FINAL_TIMES), -1).otherwise(0),
         "empty_shared_short": F.when(F.col("n").isNotNull() & F.col("short"), 1).when(F.col("short"), 0).otherwise(-1),
         "refusal_shared": F.when(F.col("n").isNotNull() & F.col("short"), 1).when(F.col("short"), 0).otherwise(-1),

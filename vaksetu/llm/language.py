@@ -125,7 +125,7 @@ class EvidenceHasher(WordHasher):
         if self.rows:
             self.table = np.concatenate([self.table, np.array(self.rows, np.int32)])
             self.rows = []
-        sums = np.concatenate([np.zeros((1, self.table.shape[1]), np.int64), np.cumsum(self.table[index], axis=0)])
+        sums = np.concatenate([np.zeros((1, self.table.shape[1]), np.int32), np.cumsum(self.table[index], axis=0, dtype=np.int32)])
         ends = np.cumsum(counts)
         each = sums[ends[1:]] - sums[ends[:-1]]
         split, evidence = len(SCRIPT_NAMES), []
