@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import ngrams as N
 from ..functions import text as T
 from ..operators import corpus, metrics, select, sequence, serve
-from ..runtime import table
+from ..runtime import spread, table
 from . import sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +63,7 @@ def collapse_whitespace(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT row_id, len({S.tokens('text')}) AS text_tokens, len({S.tokens('summary')}) AS summary_tokens, md5(array_to_string({S.tokens('text')}, ' ')) AS digest FROM processed")
 def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
-    tokens = table(spark, d, "processed").select("row_id", T.tokenize("text").alias("t"), T.tokenize("summary").alias("s"))
+    tokens = spread(table(spark, d, "processed").select("row_id", "text", "summary")).select("row_id", T.tokenize("text").alias("t"), T.tokenize("summary").alias("s"))
     return tokens.select("row_id", F.size("t").cast("bigint").alias("text_tokens"), F.size("s").cast("bigint").alias("summary_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
@@ -177,7 +177,7 @@ round(avg(sents), 6) AS article_sentences_mean, round(avg(sw), 6) AS summary_wor
 round(avg(n1), 6) AS novel_unigram_ratio, round(avg(n2), 6) AS novel_bigram_ratio FROM z GROUP BY split"""
 )
 def split_stats(spark: SparkSession, d: str) -> DataFrame:
-    stats = corpus.split_stats(table(spark, d, "processed"))
+    stats = corpus.split_stats(spread(table(spark, d, "processed").select("split", "text", "summary")))
     return stats.select("split", "examples", *(F.round(c, 6).alias(c) for c in stats.columns[2:]))
 
 
@@ -197,7 +197,7 @@ def compression_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "processed").select("row_id", "split", T.tokenize("text").alias("tt"), T.tokenize("summary").alias("st"))
+    return spread(table(spark, d, "processed").select("row_id", "split", "text", "summary")).select("row_id", "split", T.tokenize("text").alias("tt"), T.tokenize("summary").alias("st"))
 
 
 @query(_SIZES + " SELECT row_id, round(n1, 6) AS ratio FROM z")
@@ -375,7 +375,7 @@ def pagerank_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def _textrank(n: int) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return table(spark, d, "processed").select("row_id", select.textrank("text", n).alias("summary"))
+        return spread(table(spark, d, "processed").select("row_id", "text")).select("row_id", select.textrank("text", n).alias("summary"))
 
     run.__name__ = f"textrank_{n}"
     top = f", k AS (SELECT row_id, i, row_number() OVER (PARTITION BY row_id ORDER BY round(score, 9) DESC, i) AS place FROM pr) "
@@ -389,27 +389,32 @@ for _n in (1, 2):
 
 @query()
 def oracle_3(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "processed").select("row_id", select.oracle("text", "summary", 3).alias("summary"))
+    return spread(table(spark, d, "processed").select("row_id", "text", "summary")).select("row_id", select.oracle("text", "summary", 3).alias("summary"))
 
 
 # --- suite ----------------------------------------------------------------------------------------------------------------
 
 
+_SYSTEMS = ("lead_1", "lead_2", "lead_3", "textrank_1", "oracle")
+
+
 def _suite(rows: DataFrame) -> DataFrame:
-    """The five systems over (id, pos, text, summary), their scores by row. Systems are stacked as rows; the articles' tokens are made
-    once, before."""
-    # the composed text stands once in the plan, so the Arrow pass over it does
-    tokens = rows.select("id", "pos", "text", T.nfc(F.coalesce("text", F.lit(""))).alias("nt"), T.nfc(F.coalesce("summary", F.lit(""))).alias("ns"), "summary")
-    made = tokens.select(
-        "id", "pos", T.tokenize_composed("nt").alias("source"), T.tokenize_composed("ns").alias("r"), *(select.lead("text", n).alias(f"lead_{n}") for n in (1, 2, 3)),
-        select.textrank("text", 1).alias("textrank_1"), select.oracle("text", "summary", 3).alias("oracle"),
-    )
-    systems = F.array(*(F.struct(F.lit(s).alias("system"), F.col(s).alias("prediction")) for s in ("lead_1", "lead_2", "lead_3", "textrank_1", "oracle")))
-    stacked = made.select("id", "pos", "source", "r", F.explode(systems).alias("x")).select("id", "pos", "source", "r", "x.system", T.tokenize("x.prediction").alias("p"))
-    scores = stacked.withColumn("_r", metrics.rouge("p", "r"))
-    return scores.select(
-        "system", "id", "pos", "_r.*", F.size("p").alias("words"), N.novel_ngram_ratio("p", "source", 2).alias("novel_bigram"), T.has_unsupported_number("p", "source").alias("unsupported")
-    )
+    """The five systems over (id, pos, text, summary) and their scores by row. Everything about an article is made once, beside its
+    systems; only the scores are stacked as rows, so no article is copied."""
+    composed = spread(rows).select("id", "pos", T.nfc(F.coalesce("text", F.lit(""))).alias("nt"), T.nfc(F.coalesce("summary", F.lit(""))).alias("ns"))
+    chosen = {**{f"lead_{n}": select.lead("nt", n) for n in (1, 2, 3)}, "textrank_1": select.textrank("nt", 1), "oracle": select.oracle("nt", "ns", 3)}
+    made = composed.select("id", "pos", T.tokenize_composed("nt").alias("source"), T.tokenize_composed("ns").alias("r"), *(c.alias(s) for s, c in chosen.items()))
+    tokens = made.select("id", "pos", "source", "r", N.ngrams("source", 2).alias("pairs"), T.numbers("source").alias("figures"), *(T.tokenize_composed(s).alias(s) for s in _SYSTEMS))
+    scored = tokens.select("*", *(metrics.rouge(s, "r").alias(f"{s}_rouge") for s in _SYSTEMS))
+
+    def scores(s: str):
+        own = N.ngram_set(s, 2)
+        novel = F.coalesce(F.try_divide(F.size(F.array_except(own, F.col("pairs"))), F.size(own)), F.lit(0.0))
+        unsupported = F.size(F.array_except(T.numbers(s), F.col("figures"))) > 0
+        return F.struct(F.lit(s).alias("system"), F.col(f"{s}_rouge").alias("r"), F.size(s).alias("words"), novel.alias("novel_bigram"), unsupported.alias("unsupported"))
+
+    stacked = scored.select("id", "pos", F.explode(F.array(*(scores(s) for s in _SYSTEMS))).alias("x"))
+    return stacked.select("x.system", "id", "pos", "x.r.*", "x.words", "x.novel_bigram", "x.unsupported")
 
 
 def _articles(spark: SparkSession, d: str, split: str | None = None) -> DataFrame:

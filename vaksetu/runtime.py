@@ -53,6 +53,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a small file of one row group is read by one task, which leaves Python
+    stages to one core. Inputs with enough partitions, as large ones have, are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the package to the Python workers, once a session, for clusters whose executors do not have it installed."""
     context = spark.sparkContext
