@@ -7,24 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import spread, table
 from . import defects, lookalike, neardup, overlap, packing, quality, sentences, sql, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _rows(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The whole of processed, the columns that a query needs."""
+    return spread(table(spark, sf_dir, "processed").select(*columns))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of rows with the same or near the same text."""
-    return neardup.row_pairs(*neardup.near_links(table(spark, sf_dir, "processed")), "row_id_a", "row_id_b")
+    return neardup.row_pairs(*neardup.near_links(_rows(spark, sf_dir, "row_id", "text")), "row_id_a", "row_id_b")
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row with its class of copies, its number of links and its group."""
-    return neardup.article_groups(table(spark, sf_dir, "processed"))
+    return neardup.article_groups(_rows(spark, sf_dir, "row_id", "text"))
 
 
 def _qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "processed").select("row_id", "text")
+    rows = _rows(spark, sf_dir, "row_id", "text")
     common = quality.common_words(table(spark, sf_dir, "common_words"))
     profiles = quality.labelled_profiles(rows, table(spark, sf_dir, "quality_labels"), common)
     return quality.statistics(rows, profiles, common)
@@ -47,7 +56,7 @@ def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "processed").select("row_id", "text", "summary")
+    rows = _rows(spark, sf_dir, "row_id", "text", "summary")
     common = quality.common_words(table(spark, sf_dir, "common_words"))
     profiles = quality.labelled_profiles(rows, table(spark, sf_dir, "quality_labels"), common)
     return defects.judged(rows, profiles, common)
@@ -67,41 +76,41 @@ def p3_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of the rows of sentence_rows, with statistics learned from all rows."""
-    rows = table(spark, sf_dir, "processed").select("row_id", "text")
+    rows = _rows(spark, sf_dir, "row_id", "text")
     wanted = table(spark, sf_dir, "sentence_rows").select("row_id").distinct()
     return sentences.split_sentences(rows.join(wanted, "row_id", "left_semi"), rows)
 
 
 def p4_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The abbreviations, sentence starters and collocations of each language."""
-    return sentences.model_rows(table(spark, sf_dir, "processed"))
+    return sentences.model_rows(_rows(spark, sf_dir, "row_id", "text"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a training and an evaluation row that overlap."""
-    pairs = overlap.overlaps(table(spark, sf_dir, "processed"))
+    pairs = overlap.overlaps(_rows(spark, sf_dir, "row_id", "id", "text", "summary", "split"))
     return pairs.select(F.least("t", "e").alias("row_id_a"), F.greatest("t", "e").alias("row_id_b"))
 
 
 def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps by evaluation split and source."""
-    rows = table(spark, sf_dir, "processed")
+    rows = _rows(spark, sf_dir, "row_id", "id", "text", "summary", "split", "source")
     return overlap.overlap_counts(overlap.overlaps(rows), rows)
 
 
 def p5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of each evaluation row training texts cover."""
-    return overlap.coverage(table(spark, sf_dir, "processed"))
+    return overlap.coverage(_rows(spark, sf_dir, "row_id", "text", "split"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document."""
-    return tokens.encoded(table(spark, sf_dir, "documents"))
+    return tokens.encoded(_documents(spark, sf_dir))
 
 
 def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its number of ids and whether decoding gives its text again."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     ids = tokens.encoded(docs)
     back = ids.select("doc_id", F.size("ids").alias("n_tokens"), tokens.decoded("ids").alias("back"))
     return back.join(docs, "doc_id").select("doc_id", "n_tokens", (F.col("back") == F.coalesce("text", F.lit(""))).alias("same"))
@@ -109,7 +118,7 @@ def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pack of every document (or piece of one) for each container."""
-    sizes = tokens.token_counts(table(spark, sf_dir, "documents"))
+    sizes = tokens.token_counts(_documents(spark, sf_dir))
     return packing.packed(sizes, table(spark, sf_dir, "container_sizes"))
 
 
@@ -120,12 +129,12 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents of different strings that look the same."""
-    return lookalike.lookalike_pairs(table(spark, sf_dir, "documents"))
+    return lookalike.lookalike_pairs(_documents(spark, sf_dir))
 
 
 def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consistent form of every document."""
-    forms = lookalike.consistent(table(spark, sf_dir, "documents"))
+    forms = lookalike.consistent(_documents(spark, sf_dir))
     return forms.select("doc_id", "form", F.hex("skeleton_key").alias("skeleton_key"))
 
 
