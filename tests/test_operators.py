@@ -278,3 +278,14 @@ def test_archive(tmp_path):
     folder = str(tmp_path / "raw")
     assert (tmp_path / "raw" / "train.jsonl").exists() is False
     assert unpacked(str(tmp_path / "a.tar.bz2"), folder) == folder == unpacked("missing", folder)
+
+
+def test_numbered(spark):
+    from vaksetu.runtime import numbered
+
+    rows = [(("a", "b", "c")[n % 7 % 3], (n * 37) % 1000) for n in range(1000)]
+    found = numbered(spark.createDataFrame(rows, "g string, o long"), "g", "o").collect()
+    for g in "abc":
+        mine = sorted((r.o, r.i) for r in found if r.g == g)
+        assert [i for _, i in mine] == list(range(len(mine)))
+    assert len(found) == 1000 and numbered(spark.createDataFrame([], "g string, o long"), "g", "o").count() == 0

@@ -8,12 +8,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.ngrams import novel_ngram_ratio
+from ..runtime import numbered
 
 
 def subsequence_length(a: list[str], b: list[str]) -> int:
@@ -86,11 +87,11 @@ def bootstrap(scores: DataFrame, value: str, by: str = "system", resamples: int
     """(by, low, high): the distributed bootstrap. Draw i of resample r is the row number md5(seed, r, i) mod n of its group, so a run
     repeats exactly; each row meets the draws that name it by an equi-join, and only sums are shuffled."""
     n = scores.groupBy(by).agg(F.count("*").alias("n"))
-    numbered = scores.withColumn("i", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).select(by, "i", value)
-    draws = numbered.join(n, by).select(by, "n", "i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
+    rows = numbered(scores.select(by, order, value), by, order).select(by, "i", value)
+    draws = rows.join(n, by).select(by, "n", "i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
     picked = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "r", "i")), 1, 8), 16, 10).cast("bigint") % F.col("n")
     sums = draws.select(by, "n", "r", picked.alias("i")).groupBy(by, "n", "r", "i").agg(F.count("*").alias("times"))
-    means = sums.join(numbered, [by, "i"]).groupBy(by, "n", "r").agg((F.sum(F.col("times") * F.col(value)) / F.col("n")).alias("m"))
+    means = sums.join(rows, [by, "i"]).groupBy(by, "n", "r").agg((F.sum(F.col("times") * F.col(value)) / F.col("n")).alias("m"))
     return means.groupBy(by).agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import numbered
 
 #: Labels that the loss ignores.
 IGNORED = -100
@@ -87,8 +88,7 @@ def unmask(labels: Column | str, pad: int) -> Column:
 
 def batches(df: DataFrame, length: str, batch_size: int = 8, order: str = "pos", by: str = "split") -> DataFrame:
     """chunk: consecutive blocks of 8 batches by order; place, batch: longest first inside a chunk, equal lengths in order."""
-    position = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    out = df.withColumn("chunk", F.floor(position / (batch_size * 8)))
+    out = numbered(df, by, order, "_at").withColumn("chunk", F.floor(F.col("_at") / (batch_size * 8))).drop("_at")
     place = F.row_number().over(Window.partitionBy(by, "chunk").orderBy(F.desc(length), order)) - 1
     return out.withColumn("place", place).withColumn("batch", F.floor(F.col("place") / batch_size))
 

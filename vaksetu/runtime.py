@@ -9,7 +9,8 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join may be broadcast, after it has been counted. Beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
@@ -60,6 +61,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def numbered(df: DataFrame, by: str, order: str, name: str = "i") -> DataFrame:
+    """df with the place of each row among those of its ``by``, from 0, by ``order`` (unique in its group). No group is one task: rows are
+    range-partitioned, numbered inside their partition, and offset by the counts of the partitions before."""
+    ranged = cut(df.repartitionByRange(by, order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy(by, "_part").agg(F.count("*").alias("_n"))  # about a row a partition
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(by, "_part", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy(by, "_part").orderBy(order)) - 1
+    return ranged.withColumn("_place", place).join(offsets, [by, "_part"]).withColumn(name, F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
+
+
 def ship(spark: SparkSession) -> None:
     """Give the package to the Python workers, once a session, for clusters whose executors do not have it installed."""
     context = spark.sparkContext
