@@ -102,6 +102,10 @@ def _number_free(word: str) -> str:
     return "#" if word.isdigit() else word
 
 
+def _unspaced(word: str) -> bool:
+    return "\u3040" <= word[-1] <= "\u9fff"
+
+
 def _sentences_of(summary: str) -> list[tuple[list[str], bool]]:
     """(words, whether an end mark follows) of the stretches between end marks."""
     out = []
@@ -134,6 +138,10 @@ def endings(df: DataFrame, text_col: str = "text", summary_col: str = "summary")
                         one, two = [(w,) for w in found], list(zip(found, found[1:]))
                         seen.update(one)
                         seen.update(two)
+                        if _unspaced(found[-1]):
+                            seen.update(three := list(zip(found, found[1:], found[2:])))
+                            if mark and three:
+                                marked[three[-1]] += 1
                         if mark:
                             marked[one[-1]] += 1
                             if two:
@@ -184,8 +192,10 @@ def _row_votes(profiles: list, common: set[str], id_col: str):
                     votes = _votes(text, summary, own, t_hash[t_at[n] : t_at[n + 1]], s_hash[s_at[n] : s_at[n + 1]], t_lang[n], s_lang[n], analyser, profiles)
                     last = _sentences_of(summary or "")
                     tail = last[-1][0] if last else []
-                    out["h2"].append(_hash(*tail[-2:]) if len(tail) > 1 else None)
-                    out["h1"].append(_hash(tail[-1]) if tail else None)
+                    # characters that are words alone say little: two of them count as the last word there
+                    size = 2 if tail and _unspaced(tail[-1]) else 1
+                    out["h2"].append(_hash(*tail[-size - 1 :]) if len(tail) > size else None)
+                    out["h1"].append(_hash(*tail[-size:]) if tail else None)
                     out["hs"].append(_hash("s", *own) if own else None)
                     out["hf"].append(_hash(FINAL, w) if (w := _final(summary)) else None)
                     out["short"].append(len(own) <= SHORT)
@@ -273,7 +283,7 @@ def vote_table(df: DataFrame, profiles: list, common: set[str], id_col: str = "r
     votes = {
         "truncated_ending": F.when(F.col("h2").isNull(), 0).otherwise(by_pair),
         "truncated_final_word": F.when(F.col("hf").isNull(), 0).when((finals >= FINAL_TIMES) & (by_word != 1), -1).when((finals < FINAL_TIMES) & (by_word == 1), 1).otherwise(0),
-        "truncated_unknown_word": F.when(F.col("h1").isNull(), 0).when(~known_word & (finals < FINAL_TIMES), 1).when((by_word == -1) | (finals >= FINAL_TIMES), -1).otherwise(0),
+        "truncated_unknown_word": F.when(F.col("h1").isNull(), 0).when(~known_word & (finals < 2), 1).when((by_word == -1) | (finals >= FINAL_TIMES), -1).otherwise(0),
         "empty_shared_short": F.when(F.col("n").isNotNull() & F.col("short"), 1).when(F.col("short"), 0).otherwise(-1),
         "refusal_shared": F.when(F.col("n").isNotNull() & F.col("short"), 1).when(F.col("short"), 0).otherwise(-1),
     }
