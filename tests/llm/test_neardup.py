@@ -164,6 +164,36 @@ def test_coverage(spark):
     assert found[2].matched_texts == 1 and found[2].covered_words > 15 and found[3].covered_words == 0 and 4 not in found
 
 
+def covered(text, trained):
+    """Covered words and merged intervals by brute force."""
+    said, held = words(text), {tuple(w[n : n + 3]) for w in map(words, trained) for n in range(len(w) - 2)}
+    at = {n + k for n in range(len(said) - 2) if tuple(said[n : n + 3]) in held for k in range(3)}
+    if len(said) < 3 and text in trained:
+        at = set(range(len(said)))
+    return len(at), sum(n - 1 not in at for n in at)
+
+
+def test_coverage_equals_brute_force(spark, monkeypatch):
+    base, other = [f"w{n}" for n in range(40)], [f"v{n}" for n in range(40)]
+    trained = [" ".join(base), " ".join(other[:9]), " ".join(other[20:33]), "one two", "गाँव में पानी नहीं आया"]
+    asked = [
+        " ".join(base), " ".join(base[:12] * 3), " ".join(other), " ".join([*[f"u{n}" for n in range(60)], *base[5:8]]), "one two", "two one", "one", "", "quite other words",
+        " ".join(base[:20] + other[20:30]), "गाँव में पानी नहीं आया",
+    ]
+    rows = [(n, t, "train") for n, t in enumerate([*trained, trained[0]])] + [(100 + n, t, ("test", "validation")[n % 2]) for n, t in enumerate(asked)]
+    data = spark.createDataFrame([(i, None, t, None, p, "s", 1, "x") for i, t, p in rows], SCHEMA)
+    for shard in (overlap.SHARD_PASSAGES, 50):
+        monkeypatch.setattr(overlap, "SHARD_PASSAGES", shard)
+        found = {r.row_id: (r.covered_words, r.intervals) for r in overlap.coverage(data).collect()}
+        assert found == {100 + n: covered(t, trained) for n, t in enumerate(asked)}
+    assert found[100] == (40, 1) and found[101] == (36, 1) and found[103] == (3, 1)  # a copy, repeated passages, a single run
+
+
+def test_coverage_without_evaluation_rows(spark):
+    data = spark.createDataFrame([(1, "a-1", "क ख ग घ", None, "train", "s", 1, "x")], SCHEMA)
+    assert overlap.coverage(data).count() == 0 and overlap.coverage(data.limit(0)).count() == 0
+
+
 def test_no_evaluation_rows(spark):
     data = spark.createDataFrame([(1, "a-1", "क ख ग घ", None, "train", "s", 1, "x")], SCHEMA)
     assert overlap.overlaps(data).count() == 0 and overlap.overlaps(data.limit(0)).count() == 0

@@ -9,7 +9,10 @@ Passages of the evaluation texts are searched in all training texts by Aho-Coras
    the shared folder.
 3. Each task turns its training texts to strings of symbols (two a word, from two alphabets, so that a match is always aligned with
    words), without stretches that a bit table rules out, and runs every shard's automaton over them. Training texts are never shuffled. Pairs with fewer than c matches end here.
-4. The others are checked exactly on all their runs. Matched intervals are merged into the covered words of each evaluation record.
+4. The others are checked exactly on all their runs.
+
+Coverage has all runs of the evaluation texts in its automata, at all their positions, and no least number of matches: what any training
+text has is marked, and the marked intervals are merged into the covered words of each evaluation record.
 
 With the pairs whose id numbers are equal, and those whose summaries have the same words in the same order, at least eight, this
 gives all overlaps.
@@ -26,6 +29,7 @@ import io
 import pickle
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, shared_dir
 from .neardup import BLOCK, THRESHOLD, blocks, keyed, list_array, verified
-from .words import U64, WordHasher, mix, words
+from .words import GOLDEN, U64, WordHasher, mix, words
 
 RUN, SUMMARY_WORDS = 3, 8
 EVALUATION = ("validation", "test")
@@ -58,6 +62,14 @@ def _passage_key(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((h[at] << U64(32)) | (h[at + 1] << U64(16)) | h[at + 2]).view(np.int64)
 
 
+def _run_hash(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the three whole words from each position; passage keys have 16 bits of a word only."""
+    out = np.zeros(len(at), U64)
+    for k in range(RUN):
+        out = mix(out * GOLDEN + hashes[at + k])
+    return out
+
+
 def _key_symbols(key: int) -> str:
     return "".join(chr((FIRST, SECOND)[n % 2] + (key >> (40 - 8 * n) & 0xFF)) for n in range(2 * RUN))
 
@@ -125,6 +137,37 @@ def passages(texts: DataFrame, counts: np.ndarray, threshold: float = THRESHOLD)
     return texts.select("k", "text").mapInArrow(choose, "k bigint, need int, keys array<bigint>, ats array<bigint>")
 
 
+def all_passages(texts: DataFrame, counts: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """(k, words, need, keys, runs, rare): the passages at all positions of each evaluation text, the hashes of their whole words, and
+    whether a passage is one of those that ``passages`` takes, at its first position."""
+    rarity = texts.sparkSession.sparkContext.broadcast(counts)  # COUNT_BUCKETS entries
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = rarity.value
+        for keys, hashes, offsets in _fresh(batches):
+            if not keys:
+                continue
+            needs, stands, rares = [], [], []
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                stand = np.arange(a, max(a, b - RUN + 1))
+                passage, first = np.unique(_passage_key(hashes, stand), return_index=True)
+                needs.append(max(1, int(SPARE * len(passage))))
+                rare = np.zeros(len(stand), bool)
+                rare[first[np.lexsort((passage, table[_bucket(passage)]))[: int((1 - threshold) * len(passage) + 1e-9) + needs[-1]]]] = True
+                stands.append(stand)
+                rares.append(rare)
+            at, sizes = np.concatenate(stands), np.array([len(x) for x in stands])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(keys, pa.int64()), pa.array(np.diff(offsets)), pa.array(needs, pa.int32()), list_array(_passage_key(hashes, at), sizes),
+                    list_array(_run_hash(hashes, at).view(np.int64), sizes), list_array(np.concatenate(rares), sizes),
+                ],
+                names=["k", "words", "need", "keys", "runs", "rare"],
+            )
+
+    return texts.select("k", "text").mapInArrow(every, "k bigint, words bigint, need int, keys array<bigint>, runs array<bigint>, rare array<boolean>")
+
+
 def _file_system(uri: str):
     from pyarrow import fs
 
@@ -137,8 +180,9 @@ def _filter_bit(keys: np.ndarray) -> np.ndarray:
     return (mix(keys.view(U64) ^ U64(0x5BD1E995)) & U64(FILTER_BITS - 1)).astype(np.int64)
 
 
-def _stretches(hashes: np.ndarray, offsets: np.ndarray, bits: np.ndarray) -> list[str]:
-    """The symbols of each text, without the words that no passage of the shard can reach; a space stands in each gap."""
+def _stretches(hashes: np.ndarray, offsets: np.ndarray, bits: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of each text, without the words that no passage of the shard can reach; a space stands in each gap. With them the words
+    that are left, where the symbols of each end, and where those of each text begin."""
     words_ = len(hashes)
     cover = np.zeros(words_ + 2, bool)
     if words_ >= RUN:
@@ -159,7 +203,7 @@ def _stretches(hashes: np.ndarray, offsets: np.ndarray, bits: np.ndarray) -> lis
     code[ends - 1] = SECOND + ((hashes[kept] >> U64(48)) & U64(0xFF)).astype(np.uint32)
     symbols = code.tobytes().decode("utf-32-le")
     stops = np.concatenate([[0], ends])[np.searchsorted(kept, offsets)]
-    return [symbols[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
+    return [symbols[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)], kept, ends, stops
 
 
 def _remove(folder: str) -> None:
@@ -168,13 +212,41 @@ def _remove(folder: str) -> None:
         files.delete_dir(path)
 
 
+def _write_arrays(files, path: str, name: str, **arrays: np.ndarray) -> None:
+    holds = io.BytesIO()
+    np.savez(holds, **arrays)
+    unique = f"{path}/{name}.{uuid.uuid4().hex}"
+    with files.open_output_stream(unique) as out:
+        out.write(holds.getvalue())
+    files.move(unique, f"{path}/{name}.npz")
+
+
+def _write(files, path: str, shard: int, distinct: np.ndarray, **arrays: np.ndarray) -> None:
+    """The automaton of a shard's distinct passages, the bit table of them, and the arrays that belong to it."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for n, key in enumerate(distinct.tolist()):
+        automaton.add_word(_key_symbols(key), n)
+    automaton.make_automaton()
+    at = _filter_bit(distinct)
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    _write_arrays(files, path, str(shard), bits=bits, **arrays)
+    local = f"{path}/{shard}.{uuid.uuid4().hex}"
+    if files.type_name == "local":
+        automaton.save(local)
+    else:
+        with files.open_output_stream(local) as out:
+            out.write(pickle.dumps(automaton))
+    files.move(local, f"{path}/{shard}")
+
+
 def build_automata(chosen: DataFrame, folder: str, shards: int) -> None:
     """Write each shard's automaton, and which texts have its passages, to the shared folder. A shard has about SHARD_PASSAGES
     passages. A task that is run again writes the same files again."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
         parts: dict[int, list[tuple[int, int, np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             for n, (shard, k, need) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True)):
@@ -187,29 +259,10 @@ def build_automata(chosen: DataFrame, folder: str, shards: int) -> None:
             keys, owner = np.concatenate([t[2] for t in texts]), np.repeat(np.arange(len(texts)), sizes)
             order = np.argsort(keys, kind="stable")
             distinct, starts = np.unique(keys[order], return_index=True)
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for n, key in enumerate(distinct.tolist()):
-                automaton.add_word(_key_symbols(key), n)
-            automaton.make_automaton()
-            at = _filter_bit(distinct)
-            bits = np.zeros(FILTER_BITS // 8, np.uint8)
-            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-            holds = io.BytesIO()
-            np.savez(
-                holds, starts=np.append(starts, len(keys)), owner=owner[order], ats=np.concatenate([t[3] for t in texts])[order],
-                k=np.array([t[0] for t in texts]), need=np.array([t[1] for t in texts]), bits=bits,
+            _write(
+                files, path, shard, distinct, starts=np.append(starts, len(keys)), owner=owner[order], ats=np.concatenate([t[3] for t in texts])[order],
+                k=np.array([t[0] for t in texts]), need=np.array([t[1] for t in texts]),
             )
-            unique = uuid.uuid4().hex
-            local = f"{path}/{shard}.{unique}"
-            if files.type_name == "local":
-                automaton.save(local)
-            else:
-                with files.open_output_stream(local) as out:
-                    out.write(pickle.dumps(automaton))
-            with files.open_output_stream(f"{local}.npz") as out:
-                out.write(holds.getvalue())
-            files.move(f"{local}.npz", f"{path}/{shard}.npz")
-            files.move(local, f"{path}/{shard}")
         yield pa.RecordBatch.from_arrays([pa.array(sorted(parts), pa.int32())], names=["shard"])
 
     files, path = _file_system(folder)
@@ -218,6 +271,38 @@ def build_automata(chosen: DataFrame, folder: str, shards: int) -> None:
     sharded.repartition(shards, "shard").mapInArrow(build, "shard int").count()
 
 
+def build_whole_automata(chosen: DataFrame, folder: str, shards: int) -> None:
+    """As ``build_automata``, of the passages at all positions. The rare ones have their texts, as there; a file beside the automaton has
+    the texts as numbers of their runs, in order."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, dict[int, tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for n, (shard, k, need) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True)):
+                parts.setdefault(shard, {})[k] = (need, *(batch.column(c)[n].values.to_numpy(zero_copy_only=False) for c in (3, 4, 5)))
+        files, path = _file_system(folder)
+        for shard, texts in parts.items():
+            sizes = np.array([len(t[1]) for t in texts.values()])
+            keys, hashes, rare = (np.concatenate([t[c] for t in texts.values()]) for c in (1, 2, 3))
+            distinct, passage = np.unique(keys, return_inverse=True)
+            full, run = np.unique(hashes, return_inverse=True)  # as signed numbers
+            at = np.flatnonzero(rare)
+            at = at[np.argsort(passage[at], kind="stable")]
+            offsets = np.append(0, np.cumsum(sizes))
+            text = np.searchsorted(offsets, at, side="right") - 1
+            _write_arrays(files, path, f"{shard}.texts", k=np.array(list(texts)), offsets=offsets, run=run.astype(np.int32))
+            _write(
+                files, path, shard, distinct, starts=np.searchsorted(passage[at], np.arange(len(distinct) + 1)), owner=text, ats=at - offsets[text],
+                k=np.array(list(texts)), need=np.array([t[0] for t in texts.values()]), full=full,
+            )
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(parts), pa.int32())], names=["shard"])
+
+    files, path = _file_system(folder)
+    files.create_dir(path, recursive=True)
+    sharded = chosen.where(F.size("keys") > 0).select(F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int").alias("shard"), "k", "need", "keys", "runs", "rare")
+    sharded.repartition(shards, "shard").mapInArrow(build, "shard int").count()
+
+
 #: The shards that a worker read last, kept for its next task.
 _HELD: dict[tuple[str, int], object] = {}
 HELD_SHARDS = 2
@@ -248,19 +333,23 @@ def _read(folder: str, shard: int):
         return pickle.loads(source.read()), holds
 
 
-def _matches(automaton, holds: dict[str, np.ndarray], keys: list[int], strings: list[str]) -> pa.RecordBatch | None:
+def _hits(automaton, strings: list[str]) -> list[np.ndarray]:
+    """(symbol it ends with, passage) of every match in each text."""
+    return [np.fromiter(chain.from_iterable(automaton.iter(string)), np.int64).reshape(-1, 2) for string in strings]
+
+
+def _passages_hit(automaton, strings: list[str]) -> list[np.ndarray]:
+    return [np.array([value for _, value in automaton.iter(string)], np.int64) for string in strings]
+
+
+def _matches(holds: dict[str, np.ndarray], keys: list[int], hits: list[np.ndarray]) -> pa.RecordBatch | None:
     """Pairs of the texts and the shard's evaluation texts that have enough passages in common."""
     count = len(holds["k"])
-    found, text = [], []
-    for n, string in enumerate(strings):
-        hits = [value for _, value in automaton.iter(string)]
-        if hits:
-            found.append(np.unique(np.array(hits)))
-            text.append(np.full(len(found[-1]), n))
-    if not found:
-        return None
-    hit, owner_text = np.concatenate(found), np.concatenate(text)
+    found = [np.unique(h) for h in hits]
+    hit, owner_text = np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
     size = holds["starts"][hit + 1] - holds["starts"][hit]
+    if not size.sum():
+        return None
     where = np.repeat(holds["starts"][hit] - np.cumsum(size) + size, size) + np.arange(size.sum())
     pair = np.repeat(owner_text, size) * count + holds["owner"][where]
     order = np.argsort(pair, kind="stable")
@@ -295,7 +384,7 @@ def scan(texts: DataFrame, folder: str, shards: int) -> DataFrame:
             loaded = _load(folder, shard) if held else None
             if loaded:
                 for keys, hashes, offsets in held:
-                    if (batch := _matches(*loaded, keys, _stretches(hashes, offsets, loaded[1]["bits"]))) is not None:
+                    if (batch := _matches(loaded[1], keys, _passages_hit(loaded[0], _stretches(hashes, offsets, loaded[1]["bits"])[0]))) is not None:
                         yield batch
 
     return texts.select("k", "text").mapInArrow(search, "kt bigint, ke bigint, matched bigint, covered bigint, intervals bigint")
@@ -369,15 +458,93 @@ def overlap_counts(pairs: DataFrame, df: DataFrame, id_col: str = "row_id") -> D
     return pairs.join(rows, "e").groupBy("split", "source").agg(F.countDistinct("e").alias("eval_rows"), F.countDistinct("t").alias("train_rows"), F.count("*").alias("pairs"))
 
 
+def _marked(holds: dict[str, np.ndarray], hashes: np.ndarray, hits: list[np.ndarray], kept: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Numbers of the shard's runs that the matches are: the three words must be the same as a whole."""
+    stop = np.concatenate([h[:, 0] + 1 + a for h, a in zip(hits, stops[:-1], strict=True)])
+    runs = _run_hash(hashes, kept[np.searchsorted(ends, stop)] - (RUN - 1))
+    at = np.minimum(np.searchsorted(holds["full"], runs.view(np.int64)), len(holds["full"]) - 1)
+    return at[holds["full"][at] == runs.view(np.int64)]
+
+
+def scan_whole(texts: DataFrame, folder: str, shards: int) -> DataFrame:
+    """(shard, run) of the runs of evaluation texts that stand in a training text, and (kt, ke) of the pairs that ``scan`` finds."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(keys, hashes, offsets) for keys, hashes, offsets in _fresh(batches) if keys]
+        for shard in sorted(range(shards), key=lambda s: (folder, s) not in _HELD):
+            loaded = _load(folder, shard) if held else None
+            if not loaded:
+                continue
+            automaton, holds = loaded
+            marks = np.zeros(len(holds["full"]), bool)
+            for keys, hashes, offsets in held:
+                strings, kept, ends, stops = _stretches(hashes, offsets, holds["bits"])
+                hits = _hits(automaton, strings)
+                marks[_marked(holds, hashes, hits, kept, ends, stops)] = True
+                if (found := _matches(holds, keys, [h[:, 1] for h in hits])) is not None:
+                    none = pa.nulls(found.num_rows, pa.int32())
+                    yield pa.RecordBatch.from_arrays([none, none, found.column(0), found.column(1)], names=["shard", "run", "kt", "ke"])
+            run = np.flatnonzero(marks).astype(np.int32)
+            none = pa.nulls(len(run), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(run), shard, np.int32)), pa.array(run), none, none], names=["shard", "run", "kt", "ke"])
+
+    return texts.select("k", "text").mapInArrow(search, "shard int, run int, kt bigint, ke bigint")
+
+
+def merged(found: DataFrame, folder: str, shards: int) -> DataFrame:
+    """(ke, covered, intervals): the words of each evaluation text that the marked runs (shard, run) cover, as merged intervals."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = _file_system(folder)
+        texts: dict[int, dict[str, np.ndarray]] = {}
+        marks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            shard, run = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for one in np.unique(shard).tolist():
+                if one not in texts:
+                    with files.open_input_stream(f"{path}/{one}.texts.npz") as source:
+                        texts[one] = dict(np.load(io.BytesIO(source.read())))
+                    marks[one] = np.zeros(texts[one]["run"].max() + 1, bool)
+                marks[one][run[shard == one]] = True
+        for shard, of in texts.items():
+            sizes = np.diff(of["offsets"])
+            # words of all texts in a row: a text has RUN - 1 more than runs
+            begin = np.append(0, np.cumsum(sizes + RUN - 1))
+            start = np.flatnonzero(marks[shard][of["run"]])
+            start += (RUN - 1) * (np.searchsorted(of["offsets"], start, side="right") - 1)
+            cover = np.zeros(begin[-1], bool)
+            for k in range(RUN):
+                cover[start + k] = True
+            opens = cover.copy()
+            opens[1:] &= ~cover[:-1]
+            opens[begin[:-1]] = cover[begin[:-1]]
+            covered, intervals = (np.add.reduceat(x.astype(np.int64), begin[:-1]) for x in (cover, opens))
+            yield pa.RecordBatch.from_arrays([pa.array(of["k"]), pa.array(covered), pa.array(intervals)], names=["ke", "covered", "intervals"])
+
+    return found.repartition(shards, "shard").mapInArrow(merge, "ke bigint, covered bigint, intervals bigint")
+
+
 def coverage(df: DataFrame, id_col: str = "row_id", text_col: str = "text", split_col: str = "split") -> DataFrame:
     """(id_col, matched_texts, covered_words, intervals) of each evaluation row: the training texts that hold enough of its rare passages,
-    and the most words that the merged passages in any one of them cover."""
+    and the words, as merged intervals, of all its passages that stand in any training text. A text of fewer than three words is covered
+    by an equal one."""
     known = df.where(F.col(split_col).isin("train", *EVALUATION))
     train, evaluation = keyed(known.where(F.col(split_col) == "train"), id_col, text_col), keyed(known.where(F.col(split_col) != "train"), id_col, text_col)
-    matches = passage_matches(train, evaluation)
-    best = matches.groupBy("kt", "ke").agg(F.max("covered").alias("covered"), F.max("intervals").alias("intervals"))
-    best = best.groupBy("ke").agg(F.count("*").alias("matched_texts"), F.max(F.struct("covered", "intervals")).alias("m"))
+    chosen = cut(all_passages(evaluation, passage_counts(evaluation)))
+    folder = f"{shared_dir(train.sparkSession).rstrip('/')}/automata-{uuid.uuid4().hex}"
+    atexit.register(_remove, folder)  # the merge is lazy
+    total = chosen.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first()["n"]
+    shards = max(1, -(-total // SHARD_PASSAGES))
+    build_whole_automata(chosen, folder, shards)
+    found = cut(scan_whole(train, folder, shards))
+    covered = merged(found.where("run IS NOT NULL").select("shard", "run"), folder, shards)
+    matched = found.where("kt IS NOT NULL").groupBy("ke").agg(F.countDistinct("kt").alias("matched"))
+    short = chosen.where(F.col("words").between(1, RUN - 1)).select("k", "words").distinct()
+    equal = evaluation.join(short, "k").join(train.select("d").distinct(), "d", "left_semi").select(F.col("k").alias("ke"), "words").distinct()
     rows = evaluation.select(F.col("id").alias(id_col), F.col("k").alias("ke"))
-    return rows.join(best, "ke", "left").select(
-        id_col, F.coalesce("matched_texts", F.lit(0)).alias("matched_texts"), F.coalesce("m.covered", F.lit(0)).alias("covered_words"), F.coalesce("m.intervals", F.lit(0)).alias("intervals")
+    return rows.join(covered, "ke", "left").join(matched, "ke", "left").join(equal, "ke", "left").select(
+        id_col,
+        F.coalesce("matched", F.when(F.col("words").isNotNull(), F.lit(1)), F.lit(0)).cast("bigint").alias("matched_texts"),
+        F.coalesce("covered", "words", F.lit(0)).alias("covered_words"),
+        F.coalesce("intervals", F.when(F.col("words").isNotNull(), F.lit(1)), F.lit(0)).cast("bigint").alias("intervals"),
     )
