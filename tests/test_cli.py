@@ -23,3 +23,17 @@ def test_build_stats_baseline(spark, tmp_path, capsys):
     assert capsys.readouterr().out.strip() == "एक।"
     with pytest.raises(SystemExit):
         cli.main(["summarize"])
+
+
+def test_baseline_and_evaluate_give_intervals(tmp_path):
+    done, out = tmp_path / "done" / "split=test", tmp_path / "out.json"
+    done.mkdir(parents=True)
+    rows = [{"id": f"t{n}", "text": f"पहला वाक्य {n} है। दूसरा वाक्य यहाँ है।", "summary": f"पहला वाक्य {n}"} for n in range(5)]
+    (done / "rows.json").write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in rows), encoding="utf-8")
+    cli.main(["baseline", "--input", str(tmp_path / "done"), "--output", str(out)])
+    one = json.loads(out.read_text(encoding="utf-8"))["systems"]["lead_1"]
+    assert one["rouge1_ci95"]["low"] <= one["rouge1_mean"] <= one["rouge1_ci95"]["high"]
+    made = tmp_path / "made.jsonl"
+    made.write_text("\n".join(json.dumps({"system": "s", "id": r["id"], "prediction": r["text"], "reference": r["summary"]}, ensure_ascii=False) for r in rows), encoding="utf-8")
+    cli.main(["evaluate", "--input", str(made), "--output", str(out)])
+    assert "rougeL_ci95" in out.read_text(encoding="utf-8")

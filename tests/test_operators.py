@@ -141,6 +141,19 @@ def test_evaluate(spark):
     assert found.num_examples == 2 and found.unsupported_number_rate == 0.5 and found.rouge1_mean == 1.0
 
 
+def test_evaluate_has_the_intervals_of_numpy(spark, monkeypatch):
+    scores = scores_of(spark, [(f"क ख ग {n}", "क ख " + "ग " * (n % 3), "क") for n in range(40)])
+    values = {c: np.array([r[c] for r in scores.orderBy("pos").collect()]) for c in ("rouge1", "rouge2", "rougeL")}
+    for draws in (metrics.DRAWS, 70):
+        monkeypatch.setattr(metrics, "DRAWS", draws)
+        found = metrics.evaluated_with_intervals(scores, order="pos").first()
+        for c, v in values.items():
+            drawn = np.random.default_rng(0).integers(0, 40, size=(1000, 40))
+            assert tuple(found[f"{c}_ci95"]) == pytest.approx(tuple(np.quantile(v[drawn].mean(axis=1), [0.025, 0.975])))
+            if draws == 70:  # blocks of one resample
+                assert metrics.bootstrap_interval(v) == pytest.approx(tuple(found[f"{c}_ci95"]))
+
+
 def test_bootstrap(spark):
     values = np.random.default_rng(3).normal(0.5, 0.1, 400)
     low, high = metrics.bootstrap_interval(values)

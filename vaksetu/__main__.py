@@ -52,15 +52,15 @@ def baseline(spark, args) -> None:
     """Predict and score the extractive systems on a split."""
     began = time.perf_counter()
     rows = jsonl.read_processed(spark, args.input, args.split, jsonl.whole(args.limit))
-    found = metrics.evaluated(metrics.scored(predictions(rows, args.systems), source="source"))
-    result = {r["system"]: r.asDict() for r in found.collect()}
+    found = metrics.evaluated_with_intervals(metrics.scored(predictions(rows, args.systems), source="source"))
+    result = {r["system"]: r.asDict(recursive=True) for r in found.collect()}
     jsonl.write_result({"systems": result, "seconds": round(time.perf_counter() - began, 1)}, args.output)
 
 
 def evaluate(spark, args) -> None:
     """Score a file of predictions (system, id, prediction, reference)."""
     rows = spark.read.schema("system string, id string, prediction string, reference string").option("mode", "FAILFAST").json(args.input)
-    jsonl.write_result(metrics.evaluated(metrics.scored(rows)), args.output)
+    jsonl.write_result(metrics.evaluated_with_intervals(metrics.scored(rows)), args.output)
 
 
 def summarize(spark, args) -> None:

@@ -14,7 +14,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.ngrams import novel_ngram_ratio
-from ..runtime import numbered
+from ..runtime import cut, numbered
+
+#: Draws of the bootstrap held at once; bounds memory, changes nothing else.
+DRAWS = 2_000_000
 
 
 def subsequence_length(a: list[str], b: list[str]) -> int:
@@ -99,8 +102,10 @@ def bootstrap_interval(values: np.ndarray, resamples: int = 1000, alpha: float =
     """The interval as numpy's default generator draws it; (0, 0) without values."""
     if not len(values):
         return 0.0, 0.0
-    drawn = np.random.default_rng(seed).integers(0, len(values), size=(resamples, len(values)))
-    low, high = np.quantile(np.asarray(values)[drawn].mean(axis=1), [alpha / 2, 1 - alpha / 2])
+    values, generator = np.asarray(values), np.random.default_rng(seed)
+    block = max(1, DRAWS // len(values))  # draws in blocks are those of one call
+    means = [values[generator.integers(0, len(values), size=(min(block, resamples - at), len(values)))].mean(axis=1) for at in range(0, resamples, block)]
+    low, high = np.quantile(np.concatenate(means), [alpha / 2, 1 - alpha / 2])
     return float(low), float(high)
 
 
@@ -114,6 +119,15 @@ def bootstrap_exact(scores: DataFrame, values: tuple[str, ...] = ("rouge1", "rou
     return scores.select(by, order, *values).groupBy(by).applyInPandas(one, f"`{by}` string, metric string, low double, high double")
 
 
+def evaluated_with_intervals(scores: DataFrame, by: str = "system", order: str = "id", resamples: int = 1000) -> DataFrame:
+    """``evaluated`` with rouge1_ci95, rouge2_ci95 and rougeL_ci95 (STRUCT<low, high>) of ``bootstrap_exact``. The scores are cut, as they
+    are read twice. ``order`` is unique in a group."""
+    scores, names = cut(scores), ("rouge1", "rouge2", "rougeL")
+    found = bootstrap_exact(scores, names, by, order, resamples)
+    intervals = found.groupBy(by).agg(*(F.max(F.when(F.col("metric") == c, F.struct("low", "high"))).alias(f"{c}_ci95") for c in names))
+    return evaluated(scores, by).join(intervals, by)
+
+
 def timed(action: Callable[[], object], examples: int) -> dict:
     """The result of an action, its seconds and its examples a second."""
     began = time.perf_counter()

@@ -424,8 +424,10 @@ def _articles(spark: SparkSession, d: str, split: str | None = None) -> DataFram
 
 @query()
 def evaluate_systems(spark: SparkSession, d: str) -> DataFrame:
-    found = metrics.evaluated(_suite(_articles(spark, d)))
-    return found.select("system", "num_examples", *(F.round(c, 6).alias(c) for c in found.columns[2:]))
+    found = metrics.evaluated_with_intervals(_suite(_articles(spark, d)))
+    intervals = {c for c in found.columns if c.endswith("_ci95")}
+    rounded = (F.struct(*(F.round(f"{c}.{end}", 6).alias(end) for end in ("low", "high"))) if c in intervals else F.round(c, 6) for c in found.columns[2:])
+    return found.select("system", "num_examples", *(r.alias(c) for r, c in zip(rounded, found.columns[2:], strict=True)))
 
 
 _WORDS = f"SELECT system, id, pos, created_at, len({S.tokens('prediction')}) AS v FROM predictions"
