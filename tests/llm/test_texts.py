@@ -160,6 +160,19 @@ def test_learning(spark):
     assert sentences.split_sentences(data.limit(0), data).count() == 0 and sentences.split_sentences(data, data.limit(0)).count() > 0
 
 
+def test_collocations_by_ratio(spark):
+    names = [f"name{n}" for n in range(98)]
+    rows = [("en", "p", "dr", "", 1000, 0, 0), ("en", "p", "end", "", 4000, 0, 4000), ("en", "w", "the", "", 30000, 0, 0), ("en", "w", "filler", "", 64000, 0, 0)]
+    rows += [("en", "w", name, "", 10, 0, 0) for name in names] + [("en", "d", "12", "", 9, 0, 0)]
+    rows += [("en", "n", "dr", name, 7 if n else 2, 0, 0) for n, name in enumerate(names)] + [("en", "n", "dr", "the", 305, 0, 0), ("en", "n", "dr", "12", 9, 0, 0), ("en", "n", "end", "the", 4000, 0, 0)]
+    tokens = sum(r[4] for r in rows if r[1] in "pw")
+    data = spark.createDataFrame(rows, "lang string, kind string, a string, b string, n long, starts long, line_ends long")
+    found = {(r.a, r.b) for r in sentences.learn(data).where("kind = 'c'").collect()}
+    size = {r[2]: r[4] for r in rows if r[1] != "n"}
+    wanted = {(r[2], r[3]) for r in rows if r[1] == "n" and r[2] == "dr" and sentences.association(size[r[2]], size[r[3]], r[4], tokens) >= 7.88}
+    assert found == wanted and ("dr", "the") not in found and {("dr", names[0]), ("dr", names[5]), ("dr", "12")} <= found
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_runs(spark, small, name):
     rows = queries.QUERIES[name](spark, small)

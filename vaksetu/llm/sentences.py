@@ -37,7 +37,7 @@ CLOSING = set(OPENING.values()) | {'"', "'"}
 STRIP = "\"'“”«»‘’()[]{}「」『』（）,;:،，、"
 DIGITS = re.compile(r"^[\W_]*\d+$")
 #: Longest abbreviation in letters, and the thresholds of the ratios (0.3 and 7.88 are the published ones).
-LONGEST, ABBREVIATION, STARTER = 6, 0.3, 7.88
+LONGEST, ABBREVIATION, STARTER, COLLOCATION = 6, 0.3, 7.88, 7.88
 #: An abbreviation ends lines less often than this share of what other period-bearing words do.
 LINE_END = 0.25
 
@@ -74,7 +74,7 @@ def _kind(piece: str) -> str:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pre-aggregated counts of a task: lang, kind (w: word, p: word with period, n: pair), a, b, n, at a line's end or a start."""
+    """Pre-aggregated counts of a task: lang, kind (w: word, p: word with period, d: piece with digits, n: pair), a, b, n, at a line's end or a start."""
     guesser = LanguageGuesser()
     plain: dict[str, Counter] = {}
     starts: dict[str, Counter] = {}
@@ -85,13 +85,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for lang, pieces in plain.items():
             counts: Counter = Counter()
+            figures: Counter = Counter()  # only asked for as second words of pairs
             for piece, n in pieces.items():
                 core = piece.rstrip(STRIP)
                 dotted = core.endswith(".") and not core.endswith("..")
                 kind = _kind(core[:-1] if dotted else core.rstrip(SURE + "|."))
                 if kind and not any(c.isdigit() for c in kind):
                     counts["p" if dotted else "w", kind] += n
+                elif kind:
+                    figures[kind] += n
             out += [(lang, k, a, "", n, 0, 0) for (k, a), n in counts.items()]
+            out += [(lang, "d", a, "", n, 0, 0) for a, n in figures.items()]
             out += [(lang, "w", a, "", 0, n, 0) for a, n in starts[lang].items()]
             out += [(lang, "p", a, "", 0, 0, n) for a, n in ends[lang].items()]
             out += [(lang, "n", a, b, n, 0, 0) for (a, b), n in pairs[lang].items()]
@@ -149,12 +153,12 @@ def learn(stats: DataFrame) -> DataFrame:
         )
     )
     totals = stats.groupBy("lang").agg(
-        F.sum(F.when(F.col("kind") != "n", F.col("n"))).cast("double").alias("tokens"),
+        F.sum(F.when(F.col("kind").isin("w", "p"), F.col("n"))).cast("double").alias("tokens"),
         F.sum(F.when(F.col("kind") == "p", F.col("n"))).cast("double").alias("periods"),
         F.sum("starts").cast("double").alias("boundaries"),
         F.sum("line_ends").cast("double").alias("all_line_ends"),
     )
-    types = stats.where("kind <> 'n'").groupBy("lang", "a").agg(
+    types = stats.where("kind IN ('w', 'p')").groupBy("lang", "a").agg(
         F.sum(F.when(F.col("kind") == "p", F.col("n")).otherwise(0)).alias("with"),
         F.sum(F.when(F.col("kind") == "w", F.col("n")).otherwise(0)).alias("without"),
         F.sum("starts").alias("starts"),
@@ -179,11 +183,16 @@ def learn(stats: DataFrame) -> DataFrame:
     ratio = -2 * (ll(k1, b, p) + ll(k2, rest, p) - ll(k1, b, p1) - ll(k2, rest, p2))
     starters = types.where((F.col("starts") >= 5) & (p1 > p2) & (ratio >= STARTER) & (F.col("a") != "")).select("lang", F.lit("s").alias("kind"), "a", F.lit("").alias("b"))
     pairs = stats.where("kind = 'n'").select("lang", "a", "b", "n")
-    follow = pairs.join(dotted.select("lang", "a", "with"), ["lang", "a"])
+    second = stats.where("kind <> 'n'").groupBy("lang", F.col("a").alias("b")).agg(F.sum("n").alias("second"))
+    follow = pairs.where("b <> ''").join(dotted.select("lang", "a", "with", "tokens"), ["lang", "a"]).join(second, ["lang", "b"])
     short = dotted.select("lang", F.lit("a").alias("kind"), "a", F.lit("").alias("b"))
     ending = dotted.where("line_ends > 0").select("lang", F.lit("e").alias("kind"), "a", F.lit("").alias("b"))
-    # a pair is a collocation if its words meet far above chance
-    collocations = follow.where((F.col("n") >= 5) & (F.col("n") >= 0.2 * F.col("with"))).select("lang", F.lit("c").alias("kind"), "a", "b")
+    # a pair is a collocation if its words meet far above chance: the ratio of association() as a Column
+    one, both, other = F.col("with"), F.col("n"), F.greatest(F.col("second") - F.col("n"), F.lit(0))
+    outside = F.greatest(F.col("tokens") - one, F.lit(1.0))
+    chance, inside, beyond = F.col("second") / F.col("tokens"), both / one, other / outside
+    meet = -2 * (ll(both, one, chance) + ll(other, outside, chance) - ll(both, one, inside) - ll(other, outside, beyond))
+    collocations = follow.where((inside > beyond) & (meet >= COLLOCATION)).select("lang", F.lit("c").alias("kind"), "a", "b")
     return short.union(ending).union(starters).union(collocations)
 
 
@@ -351,6 +360,10 @@ def split_sentences(df: DataFrame, corpus: DataFrame, id_col: str = "row_id", te
     significant ratio); their number is counted first, and beyond the bound of a broadcast an error says so.
     """
     learned = cut(model_rows(corpus, text_col))
+    # a collocation decides only where its abbreviation ends lines and its second word is a starter
+    ending, starter = (learned.where(F.col("kind") == k).select("lang", F.col("a").alias(c)) for k, c in (("e", "a"), ("s", "b")))
+    asked = learned.where("kind = 'c'").join(ending, ["lang", "a"], "left_semi").join(starter, ["lang", "b"], "left_semi")
+    learned = cut(learned.where("kind <> 'c'").unionByName(asked))
     if (n := learned.count()) > BROADCAST_ROWS:
         raise ValueError(f"{n} learned words are more than a broadcast may have; raise ABBREVIATION or STARTER")
     kind = df.schema[id_col].dataType.simpleString()
