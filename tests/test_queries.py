@@ -34,5 +34,11 @@ def test_query(spark, small, duck, name):
         assert rows(found) == rows(duck.execute(SQL[name]).df())
 
 
+def test_whole_lengths(spark, small):
+    said = {r.row_id: len(r.text.split()) for r in spark.read.parquet(f"{small}/processed.parquet").where("text IS NOT NULL").select("row_id", "text").collect()}
+    held = {r.row_id: r.mask for r in QUERIES["preprocess_pairs_512"](spark, small).collect()}
+    assert max(held.values()) > 64 and all(held[i] == min(n, 510) + 2 for i, n in said.items())
+
+
 def test_flagship(spark, small):
     assert flagship(spark, small).count() == 3

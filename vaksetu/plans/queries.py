@@ -465,9 +465,9 @@ _IDS = f"list_transform({S.ws_words('text')}, lambda w: (100 + length(w))::INTEG
 _ENC = "list_concat(list_slice(ids, 1, 62), [64001, 64006])"
 
 
-def _encoded(spark: SparkSession, d: str) -> DataFrame:
+def _encoded(spark: SparkSession, d: str, source: int = 64, target: int = 16) -> DataFrame:
     rows = table(spark, d, "processed").select("row_id", "split", "pos", sequence.hashed_ids("text").alias("a"), sequence.hashed_ids("summary").alias("b"))
-    return sequence.preprocess(rows, SPECIAL, "a", "b", 64, 16)
+    return sequence.preprocess(rows, SPECIAL, "a", "b", source, target)
 
 
 @query(f"WITH i AS (SELECT row_id, {_IDS} AS ids FROM processed) SELECT row_id, array_to_string({_ENC}, ' ') AS input_ids FROM i")
@@ -501,6 +501,40 @@ def pad_batches(spark: SparkSession, d: str) -> DataFrame:
     return filled.select("row_id", F.size("input_ids").cast("bigint").alias("width"), F.size(F.filter("input_ids", lambda x: x == SPECIAL.pad)).cast("bigint").alias("pads"))
 
 
+# The four above at the lengths of generation, 512 and 80.
+_WHOLE = sequence.GenerationSettings()
+_ENC_WHOLE = f"list_concat(list_slice(ids, 1, {_WHOLE.max_source_length - 2}), [64001, 64006])"
+
+
+def _encoded_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _encoded(spark, d, _WHOLE.max_source_length, _WHOLE.max_target_length)
+
+
+@query(SQL["encode_suffix"].replace(_ENC, _ENC_WHOLE))
+def encode_suffix_512(spark: SparkSession, d: str) -> DataFrame:
+    return _encoded_whole(spark, d).select("row_id", F.array_join("input_ids", " ").alias("input_ids"))
+
+
+@query(SQL["preprocess_pairs"].replace(_ENC, _ENC_WHOLE).replace("list_slice(lab, 1, 14)", f"list_slice(lab, 1, {_WHOLE.max_target_length - 2})"))
+def preprocess_pairs_512(spark: SparkSession, d: str) -> DataFrame:
+    return _encoded_whole(spark, d).select("row_id", F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x).cast("bigint").alias("mask"), F.array_join("labels", " ").alias("labels"))
+
+
+def _batched_whole(spark: SparkSession, d: str) -> DataFrame:
+    return sequence.batches(_encoded_whole(spark, d).withColumn("n", F.size("input_ids")), "n")
+
+
+@query(SQL["length_sorted_batches"].replace(_ENC, _ENC_WHOLE))
+def length_sorted_batches_512(spark: SparkSession, d: str) -> DataFrame:
+    return _batched_whole(spark, d).select("row_id", "chunk", F.col("place").cast("bigint").alias("place"), "batch")
+
+
+@query(SQL["pad_batches"].replace(_ENC, _ENC_WHOLE))
+def pad_batches_512(spark: SparkSession, d: str) -> DataFrame:
+    filled = sequence.padded(_batched_whole(spark, d).withColumn("b", F.struct("split", "chunk", "batch")), "b", "input_ids", SPECIAL.pad)
+    return filled.select("row_id", F.size("input_ids").cast("bigint").alias("width"), F.size(F.filter("input_ids", lambda x: x == SPECIAL.pad)).cast("bigint").alias("pads"))
+
+
 @query(f"WITH i AS (SELECT row_id, {_IDS} AS ids FROM processed) SELECT row_id, array_to_string(list_transform(list_slice(ids, 1, 8), lambda x: CASE WHEN x % 2 = 0 THEN 0 ELSE x END), ' ') AS labels FROM i")
 def label_mask(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "processed").select("row_id", F.slice(sequence.hashed_ids("text"), 1, 8).alias("ids"))
