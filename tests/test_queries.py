@@ -40,5 +40,11 @@ def test_whole_lengths(spark, small):
     assert max(held.values()) > 64 and all(held[i] == min(n, 510) + 2 for i, n in said.items())
 
 
+def test_label_mask_whole(spark, small):
+    said = {r.row_id: len(r.text.split()) for r in spark.read.parquet(f"{small}/processed.parquet").where("text IS NOT NULL").select("row_id", "text").collect()}
+    found = {r.row_id: len(r.labels.split()) for r in QUERIES["label_mask_whole"](spark, small).collect() if r.labels is not None}
+    assert max(found.values()) > 8 and all(found[i] == n for i, n in said.items())
+
+
 def test_flagship(spark, small):
     assert flagship(spark, small).count() == 3

@@ -542,6 +542,13 @@ def label_mask(spark: SparkSession, d: str) -> DataFrame:
     return ids.select("row_id", F.array_join(sequence.unmask(masked, SPECIAL.pad), " ").alias("labels"))
 
 
+@query(f"WITH i AS (SELECT row_id, {_IDS} AS ids FROM processed) SELECT row_id, array_to_string(list_transform(ids, lambda x: CASE WHEN x % 2 = 0 THEN 0 ELSE x END), ' ') AS labels FROM i")
+def label_mask_whole(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "processed").select("row_id", sequence.hashed_ids("text").alias("ids"))
+    masked = F.transform("ids", lambda x: F.when(x % 2 == 0, F.lit(sequence.IGNORED)).otherwise(x))
+    return ids.select("row_id", F.array_join(sequence.unmask(masked, SPECIAL.pad), " ").alias("labels"))
+
+
 # --- serving --------------------------------------------------------------------------------------------------------------
 
 _BLANK = f"len(list_filter(texts, lambda t: coalesce(regexp_replace(t, '[{S.WS}]+', '', 'g'), '') = '')) > 0"
