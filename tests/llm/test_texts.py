@@ -92,6 +92,22 @@ def test_defects(spark):
     assert {i: (found[i] or [None])[0] for i, *_ in cases} == {i: d for i, *_, d in cases}
 
 
+@pytest.mark.parametrize(
+    "said",
+    [
+        "दुर्भाग्य से इस लेख को सारांशित करना संभव नहीं है।", "लेख का संक्षेपण संभव नहीं है।", "সারাংশটি নেই।", "خلاصہء نہیں", "as an automated tool", "It would cannot be appropriate to say", "Subrequest cannot be fulfilled",
+        "I cannot", "We won’t", "unable to help", "not allowed to", "for me to", "my guidelines", "language model", "Summarize", "condense", "comply", "मैं यह नहीं कर सकता", "मुझे क्षमा", "हम नहीं कर सकते", "मुझसे नहीं", "अनुरोध अस्वीकार",
+        "मी शकत नाही", "मला माफ", "विनंती नाही", "আমি পারব না", "আমার পক্ষে সম্ভব নয়", "অনুরোধ না", "میں قاصر ہوں", "مجھے معذرت", "درخواست مسترد", "我无法", "要約できません", "お答えでき", "सहायक के रूप में", "भाषा मॉडल के रूप में", "एआई के रूप में",
+        "टिप्पणी नहीं", "एक सहाय्यक म्हणून", "সহকারী হিসেবে", "معاون کے طور پر", "作为助手", "摘要", "アシスタント",
+    ],
+)
+def test_gate_holds_every_pattern(said):
+    from vaksetu.llm.words import words
+
+    assert defects.REFUSAL.search(said) or defects.META.search(said)
+    assert defects._maybe(said, words(said))
+
+
 def test_label_model_learns():
     functions = (("good", 0.6, 0.2, 0.2, 0.6), ("bad", 0.6, 0.2, 0.2, 0.6), ("fair", 0.6, 0.2, 0.2, 0.6))
     rng = np.random.default_rng(0)

@@ -56,11 +56,17 @@ META = re.compile(
 APOLOGY = re.compile(
     r"^\W*(?:sorry|i['’]?m sorry|i am sorry|apologies|i apologi[sz]e|unfortunately|regrettably|माफ़ (?:कीजिए|करें|कीजिएगा)|माफ (?:कीजिए|करें|करा)|क्षमा (?:करें|कीजिए|चाहता|चाहती)|खेद है|मुझे खेद|मुझे माफ़|दुर्भाग्य|क्षमस्व|দুঃখিত|ক্ষমা|মাফ|معذرت|معاف|افسوس|抱歉|对不起|很抱歉|不好意思|申し訳|すみません|恐れ入り)", re.I
 )
-# Each alternative of the two patterns above has one of these words, or is in a script without spaces.
+# Most matches of the two patterns above have one of these words; what has none of them, no stem below and no character of a
+# script without spaces matches neither.
 TRIGGERS = set(
     "i we unable not my me may request article ai assistant model language summary summarise summarize summarises summarizes summaries condense comply i'm summarised summarized "
     "मैं मुझे मुझसे हम अनुरोध संक्षेप सारांश टिप्पणी सहायक मॉडल एआई मी मला विनंती सहाय्यक আমি আমার অনুরোধ সারাংশ সহকারী میں مجھے درخواست خلاصہ معاون".split()
 )
+STEMS = (
+    "not be appropriate", "request", "article", "as a", "language model", "summar", "condense", "comply", "मैं", "मुझे", "मुझसे", "हम", "अनुरोध", "संक्षेप", "सारांश", "टिप्पणी", "सहायक", "मॉडल", "एआई",
+    "मी ", "मला", "विनंती", "सहाय्यक", "আমি", "আমার", "অনুরোধ", "সারাংশ", "সহকারী", "میں", "مجھے", "درخواست", "خلاصہ", "معاون",
+)
+ALONE = re.compile(r"\b(?:I|we|me|my|unable|not)\b", re.I)
 UNSPACED = re.compile("[\u3040-\u9fff]")
 # Words that a sentence of these languages does not end with.
 DANGLING = set(
@@ -209,6 +215,14 @@ def _row_votes(profiles: list, common: set[str], id_col: str):
     return run
 
 
+def _maybe(raw: str, own: list[str]) -> bool:
+    """False only where neither REFUSAL nor META matches."""
+    if not TRIGGERS.isdisjoint(own) or UNSPACED.search(raw) or ALONE.search(raw):
+        return True
+    low = raw.casefold().replace("ı", "i").replace("\u0307", "")  # as the patterns fold cases
+    return any(stem in low for stem in STEMS)
+
+
 def _votes(text, summary, own: list[str], t: np.ndarray, s: np.ndarray, of_text: tuple, of_summary: tuple, analyser: Analyser, profiles: list) -> dict[str, int]:
     """The votes that a row alone decides."""
     votes: dict[str, int] = {}
@@ -217,7 +231,7 @@ def _votes(text, summary, own: list[str], t: np.ndarray, s: np.ndarray, of_text:
     votes["empty.placeholder"] = 1 if " ".join(own) in PLACEHOLDERS else -1 if len(own) > 2 else 0
     votes["empty.in_brackets"] = 1 if re.fullmatch(r"[\[(<{【（《][^\])>}】）》]*[\])>}】）》]", raw) and len(own) <= 4 else -1 if len(own) > 2 else 0
     # the patterns are long; a summary without any of their key words is spared them
-    maybe = not TRIGGERS.isdisjoint(own) or bool(UNSPACED.search(raw))
+    maybe = _maybe(raw, own)
     first = maybe and bool(REFUSAL.search(raw))
     votes["refusal.first_person"] = 1 if first else -1
     votes["refusal.about_summaries"] = 1 if maybe and META.search(raw) else 0 if first else -1
