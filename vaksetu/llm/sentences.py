@@ -10,6 +10,9 @@ Deciding: danda, ideographic and Arabic full stops always end a sentence, ! and
 end mark, and not after abbreviations, initials, list numbers, inside numbers or dots; a bar only in rows that use it. Marks inside
 quotations and brackets end nothing, except right before the closing sign. Line breaks always end a unit.
 
+What was learned is written to the shared folder, a folder for each language; a task reads the languages that it meets. Nothing of it
+reaches the driver, and neither the number of learned words nor their length has a limit.
+
 Null, empty and blank texts have no sentences. Offsets count code points. Extra columns are ignored.
 """
 
@@ -24,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import BROADCAST_ROWS, cut
+from ..runtime import cut
 from .language import LanguageGuesser
 from .neardup import blocks
+from .store import file_system, new_folder
 
 # Fixed values
 LINE_BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
@@ -36,18 +40,12 @@ OPENING = {"“": "”", "«": "»", "‘": "’", "「": "」", "『": "』", "
 CLOSING = set(OPENING.values()) | {'"', "'"}
 STRIP = "\"'“”«»‘’()[]{}「」『』（）,;:،，、"
 DIGITS = re.compile(r"^[\W_]*\d+$")
-#: Longest abbreviation in letters, and the thresholds of the ratios (0.3 and 7.88 are the published ones).
-LONGEST, ABBREVIATION, STARTER, COLLOCATION = 6, 0.3, 7.88, 7.88
+#: The thresholds of the ratios (0.3 and 7.88 are the published ones).
+ABBREVIATION, STARTER, COLLOCATION = 0.3, 7.88, 7.88
 #: An abbreviation ends lines less often than this share of what other period-bearing words do.
 LINE_END = 0.25
 
 
-def dunning(a: float, b: float, ab: float, n: float) -> float:
-    """-2 log lambda that a is followed by b at the rate of b anywhere, against 0.99."""
-    p, q = min(max(b / max(n, 1), 1e-9), 1 - 1e-9), 0.99
-    return -2 * (ab * math.log(p) + (a - ab) * math.log(1 - p) - ab * math.log(q) - (a - ab) * math.log(1 - q))
-
-
 def association(a: float, b: float, ab: float, n: float) -> float:
     """-2 log lambda of independence of a and b, negative where they meet less often than chance."""
 
@@ -123,7 +121,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         ends[lang][_kind(last[:-1])] += 1
                     if "." in line:
                         for one, two in zip(pieces, pieces[1:]):
-                            if one[-1] == "." and len(one) <= LONGEST + 5:
+                            if one[-1] == ".":
                                 pairs[lang][_kind(one[:-1]), _kind(two.rstrip("."))] += 1
                     for one, two in zip(pieces, pieces[1:]):
                         if one[-1] in SURE:
@@ -143,7 +141,7 @@ def statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
 def learn(stats: DataFrame) -> DataFrame:
     """(lang, kind, a, b): abbreviations (kind a), those of them that were seen at a line's end (e), sentence starters (s) and
     collocations (c) of each language."""
-    dunning_sql = lambda a, b, ab, n: (  # noqa: E731 - the ratio of dunning() as a Column
+    dunning = lambda a, b, ab, n: (  # noqa: E731 - -2 log lambda that a is followed by b at the rate of b anywhere, against 0.99
         -2
         * (
             F.col(ab) * F.log(F.greatest(F.col(b) / F.col(n), F.lit(1e-9)))
@@ -168,9 +166,9 @@ def learn(stats: DataFrame) -> DataFrame:
     letters = F.length(F.translate("a", ".", ""))
     inner = F.length("a") - letters + 1
     types = types.withColumn("all", F.col("with") + F.col("without")).withColumn("letters", letters)
-    score = dunning_sql("all", "periods", "with", "tokens") * F.exp(-letters.cast("double")) * inner * F.pow(F.greatest(letters, F.lit(2)).cast("double"), -F.col("without").cast("double"))
+    score = dunning("all", "periods", "with", "tokens") * F.exp(-letters.cast("double")) * inner * F.pow(F.greatest(letters, F.lit(2)).cast("double"), -F.col("without").cast("double"))
     expected = F.col("with") * F.col("all_line_ends") / F.greatest(F.col("periods"), F.lit(1.0))
-    dotted = types.where((F.col("with") > 0) & (letters > 0) & (letters <= LONGEST)).where((score >= ABBREVIATION) & (F.col("line_ends") <= LINE_END * expected))
+    dotted = types.where((F.col("with") > 0) & (letters > 0)).where((score >= ABBREVIATION) & (F.col("line_ends") <= LINE_END * expected))
     p1, p2 = F.col("starts") / F.col("boundaries"), (F.col("all") - F.col("starts")) / F.greatest(F.col("tokens") - F.col("boundaries"), F.lit(1.0))
     p = F.col("all") / F.col("tokens")
 
@@ -199,7 +197,7 @@ def learn(stats: DataFrame) -> DataFrame:
 class Splitter:
     """Sentences of one text under the learned statistics {lang: {kind: set}}."""
 
-    def __init__(self, model: dict[str, dict[str, set]]) -> None:
+    def __init__(self, model: dict[str, dict[str, set]] | LearnedWords) -> None:
         self.model, self.guesser = model, LanguageGuesser()
 
     def _spans(self, line: str) -> list[tuple[int, int]]:
@@ -337,9 +335,38 @@ def _as_model(rows: list) -> dict[str, dict[str, set]]:
     return model
 
 
-def _split_with(model: dict, id_col: str):
+class LearnedWords:
+    """What was learned of each language, read from the shared folder when a text of it is met."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder, self.held = folder, {}
+
+    def get(self, lang: str, default: dict) -> dict[str, set]:
+        if lang not in self.held:
+            self.held[lang] = self._read(lang)
+        return self.held[lang] or default
+
+    def _read(self, lang: str) -> dict[str, set]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        files, path = file_system(self.folder)
+        path = f"{path}/lang={lang}"
+        if files.get_file_info(path).type == fs.FileType.NotFound:
+            return {}
+        found: dict[str, set] = {}
+        for file in files.get_file_info(fs.FileSelector(path)):
+            if file.path.endswith(".parquet"):
+                with files.open_input_file(file.path) as source:
+                    table = pq.ParquetFile(source).read(["kind", "a", "b"])
+                for kind, a, b in zip(*(c.to_pylist() for c in table.columns), strict=True):
+                    found.setdefault(kind, set()).add((a, b) if kind == "c" else a)
+        return found
+
+
+def _split_with(folder: str, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(model)
+        splitter = Splitter(LearnedWords(folder))
         for batch in batches:
             for block in blocks(batch):
                 ids, start, end = [], [], []
@@ -354,17 +381,12 @@ def _split_with(model: dict, id_col: str):
 
 
 def split_sentences(df: DataFrame, corpus: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
-    """(id_col, start_at, end_at) of each sentence of df, with statistics learned from all of corpus.
-
-    The learned words reach the workers as one object. They are those of closed lists (short abbreviations, openers with a
-    significant ratio); their number is counted first, and beyond the bound of a broadcast an error says so.
-    """
+    """(id_col, start_at, end_at) of each sentence of df, with statistics learned from all of corpus."""
     learned = cut(model_rows(corpus, text_col))
     # a collocation decides only where its abbreviation ends lines and its second word is a starter
     ending, starter = (learned.where(F.col("kind") == k).select("lang", F.col("a").alias(c)) for k, c in (("e", "a"), ("s", "b")))
     asked = learned.where("kind = 'c'").join(ending, ["lang", "a"], "left_semi").join(starter, ["lang", "b"], "left_semi")
-    learned = cut(learned.where("kind <> 'c'").unionByName(asked))
-    if (n := learned.count()) > BROADCAST_ROWS:
-        raise ValueError(f"{n} learned words are more than a broadcast may have; raise ABBREVIATION or STARTER")
+    folder = new_folder(df.sparkSession, "learned-words")
+    learned.where("kind <> 'c'").unionByName(asked).write.partitionBy("lang").parquet(folder)
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(_split_with(_as_model(learned.collect()), id_col), f"`{id_col}` {kind}, start_at int, end_at int")
+    return df.select(id_col, text_col).mapInArrow(_split_with(folder, id_col), f"`{id_col}` {kind}, start_at int, end_at int")
