@@ -39,3 +39,16 @@ def test_forms(spark):
 
 def test_long_text(spark):
     assert pairs(spark, ["क " * 20000 + "Ａ", "क " * 20000 + "A"]) == {(0, 1)}
+
+
+def test_many_long_texts_in_one_batch(spark):
+    """128 texts of 400,000 characters: blocks are cut by bytes, so they need no more memory than short ones."""
+    rows = spark.range(128, numPartitions=1).selectExpr("id AS doc_id", "repeat('क ख ', 100000) || if(id % 2 = 0, 'Ａ', 'A') || id div 2 AS text")
+    found = lookalike.lookalike_pairs(rows).collect()
+    assert set(map(tuple, found)) == {(2 * n, 2 * n + 1) for n in range(64)}
+
+
+def test_one_text_longer_than_a_block(spark):
+    text = "ﬁ क " * 1_500_000
+    rows = spark.createDataFrame([(1, "a")], "doc_id long, text string").selectExpr("doc_id", f"repeat('ﬁ क ', {len(text) // 4}) AS text")
+    assert lookalike.consistent(rows).selectExpr("length(form) AS n").first().n == len(text) // 4 * 5

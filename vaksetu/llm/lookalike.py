@@ -18,12 +18,15 @@ import functools
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut
-from .neardup import blocks
+
+#: Bytes of text that DuckDB gets at once (one row at least), the memory it may use for them, and how many times its own size a longer row may take.
+BLOCK_BYTES, MEMORY_MB, TIMES = 4 << 20, 256, 24
 
 # Letters and signs of one shape at different code points (left: first of each pair, right: what it becomes).
 SAME_SHAPE = {
@@ -112,15 +115,32 @@ def skeleton_sql(form: str, found: set[str]) -> str:
     return f"translate({x}, {_quoted(''.join(SAME_SHAPE))}, {_quoted(''.join(SAME_SHAPE.values()))})"
 
 
+def _blocks(batch: pa.RecordBatch, text: int = 1, most: int = 512) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """(rows, bytes of their texts): stretches of a batch with at most BLOCK_BYTES of text, or one row."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = min(max(int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")), at + 1), at + most, batch.num_rows)
+        yield batch.slice(at, end - at), int(ends[end - 1]) - before
+        at = end
+
+
 def consistent(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, text_key: digest of the text, form, skeleton_key: digest of the skeleton, visible: whether a character shows) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        connection = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
+        connection = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
+        allowed = MEMORY_MB
         for batch in batches:
-            for block in blocks(batch, 512):
+            for block, size in _blocks(batch):
+                if (wanted := max(MEMORY_MB, TIMES * (size >> 20))) != allowed:  # a long row has the memory it takes, for its block only
+                    connection.execute(f"SET memory_limit = '{wanted}MB'")
+                    allowed = wanted
                 docs = pa.table({"id": block.column(0), "text": block.column(1)})  # noqa: F841 - read by name below
                 connection.register("docs", docs)
                 found = set("".join({c for t in block.column(1).to_pylist() if t for c in set(t)}))
