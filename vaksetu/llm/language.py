@@ -20,7 +20,7 @@ SCRIPTS = (
 # Frequent function words of languages that share a script.
 FUNCTION_WORDS = {
     "hi": "के की का में है हैं को ने से पर और था थे थी कि यह वह इस उस जो भी नहीं तक लिए कर रहा रही रहे गया गई गए हो हुआ हुई किया जिसका बाद साथ एक अब",
-    "mr": "आहे आहेत आणि या हा ही हे चे च्या चा ची ला नाही होते होता होती मध्ये यांनी यांचा यांची यांच्या येथे येथील केले केली केला असून पासून साठी बाबत कडे आता पण गेले गेली झाली झाला झाले हजार नंतर मिटला मधील",
+    "mr": "आहे आहेत आणि या हा ही हे चे च्या चा ची ला नाही होते होता होती मध्ये यांनी यांचा यांची यांच्या येथे येथील केले केली केला असून पासून साठी बाबत कडे आता पण गेले गेली झाली झाला झाले हजार नंतर मिटला मधील अजून यांना ते त्या त्यांनी त्यांच्या ती काय आले आली येत होणार करण्यात",
     "ne": "छ छन् र को मा ले लाई हो भएको गरेको पनि थियो यो त्यो गर्न हुन्छ",
     "en": "the of and to in a is that for on with as was by at from it an be has have are not but this had were will who said after over their",
     "fr": "le la les de des du et un une est dans que qui pour sur avec au aux par ne pas ce cette il elle sont",
@@ -32,8 +32,10 @@ FUNCTION_WORDS = {
     "ur": "میں کے کی کا کو سے اور ہے ہیں نے پر کہ اس ایک یہ نہیں تھا تھے تھی بعد گیا گئی ہو رہا لیے تک",
     "fa": "از به در که این را با است برای آن یک شد می‌شود تا بر هم",
     "ar": "في من على أن إلى هذا هذه التي الذي عن مع كان لا ما قد",
-    "bn": "এবং যে এই করে থেকে না জন্য এর নিয়ে হয়েছে ও পরে করেছে ছিল কাছে সঙ্গে এলাকায় এলাকার",
+    "bn": "এবং যে এই করে থেকে না জন্য এর নিয়ে হয়েছে ও পরে করেছে ছিল কাছে সঙ্গে এলাকায় এলাকার হবে কি কী আর তার তিনি সে তা হয় করা করতে বলে বলেন বলছে আছে গেছে দিয়ে মধ্যে এখন এখনও কোনও সব দুজনেই জানিয়েছেন পেলে পেয়েছে",
     "as": "আৰু এই কৰা হৈছে পৰা বাবে কৰিছে",
+    "zh": "的 了 在 是 和 与 不 有 为 将 对 就 也 从 到 据 被 以 于 还 这 那 他 等 但 会 没 来 其 中 之 及 由 而 或 所 把 让 给 后 时 都 说 要 么 怎 自 已 可 能 地 得 着 过 们 很 再 又 才 一 仍 并",
+    "ja": "の に は を が と で た て も し か ら な さ れ い る あ っ",
 }
 OF_SCRIPT = {
     "latin": ("en", "fr", "de", "es", "it", "pt", "id"), "devanagari": ("hi", "mr", "ne"), "arabic": ("ur", "fa", "ar"), "bengali": ("bn", "as"),

@@ -1,9 +1,12 @@
 """Problem 2: per-document text quality statistics and structural kind.
 
-Besides the basic counts, every text gets a distribution over what its words stand in (sentences, separate short entries, records of
-cells, broken characters or code, bare figures, menus, repetition) and over function words and character classes. Its kind is that
-of the profile with the least Jensen-Shannon divergence. Profiles are built in, one or more a kind; rows judged by hand (at most
-LABELLED_ROWS, a documented bound of the training sample) are mixed into them.
+Besides the basic counts, every text gets three distributions: of its function words (the most frequent ones of its language, the others, and
+all other words), of its character classes, and of what its words stand in (sentences, separate short entries, records of cells,
+broken characters or code, bare figures, menus, repetition). The first two are compared with the prose profile of the language and
+with its profile of words that make no sentences, by Jensen-Shannon divergence: as far as a text is nearer to the latter, its
+running words count as entries and not as sentences. The kind is that of the profile that is nearest to all three distributions,
+again by Jensen-Shannon divergence. Profiles start from built-in ones and are mixed with the rows judged by hand, those of prose by language (at
+most LABELLED_ROWS, a documented bound of the training sample).
 
 Null and blank texts have counts of 0, ratios of 0 and the kind junk. Ties go to the first of KINDS.
 """
@@ -15,13 +18,15 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .language import FUNCTION_WORDS
+from .language import FUNCTION_WORDS, OF_SCRIPT, SCRIPT_NAMES, _Script, decide
 from .neardup import blocks
 from .sentences import LINE_BREAK
 from .words import CACHE_LENGTH, CACHE_WORDS, words
@@ -52,24 +57,46 @@ RANDOM_LATIN = re.compile(r"^[A-Za-z0-9]+$")
 BROKEN = re.compile("^[?�]+[.,।!]?$|�")
 INDIC_BROKEN = re.compile(r"(?:^|[^ऀ-ॿঀ-৿])[ऀ-ःऺ-़ा-ॏঁ-ঃ়া-্]|[ा-ौা-ৌ][ा-्া-্]|्[ऀ-ःा-्]|[ऀ-ं][ऀ-ः]")
 BINS = ("sentences", "entries", "records", "broken", "figures", "menu", "repeated")
+SENTENCES, ENTRIES = BINS.index("sentences"), BINS.index("entries")
 CLASSES = ("letters", "marks", "digits", "symbols")
 #: Weights of the three distributions in the joint one.
-W_STRUCTURE, W_FUNCTION, W_CLASS = 0.8, 0.1, 0.1
-
-
-def _profile(function: float, classes: tuple[float, ...], **bins: float) -> np.ndarray:
+W_STRUCTURE, W_FUNCTION, W_CLASS = 0.5, 0.3, 0.2
+#: Function words of a language that have a bin each; the others share one, and all other words have the last.
+TOP = 6
+LANGUAGES = tuple(FUNCTION_WORDS)
+#: Weight of a language's built-in prose profile in rows, against its labelled ones; words of a text's profile that its own words are mixed with.
+PRIOR_LANGUAGE, SMOOTH = 5, 8
+#: Built-in profiles of a language: prose, and words that make no sentences; classes of scripts with vowel signs, and of others.
+PROSE_FUNCTION, LOOSE_FUNCTION, LOOSE_PART = np.array([0.03] * TOP + [0.14, 0.68]), 0.03, 0.15
+UNSPACED_FUNCTION = np.array([0.01] * TOP + [0.06, 0.88])
+SIGNS, PLAIN = np.array([0.70, 0.22, 0.04, 0.04]), np.array([0.90, 0.01, 0.04, 0.05])
+WITH_SIGNS = {lang for script in ("devanagari", "bengali", "gurmukhi", "gujarati", "odia", "tamil", "telugu", "kannada", "malayalam", "thai") for lang in OF_SCRIPT[script]}
+
+
+class Shape(NamedTuple):
+    """What a text is judged by: its language and its three distributions."""
+
+    lang: str | None
+    bins: np.ndarray
+    function: np.ndarray
+    classes: np.ndarray
+    words: float
+
+
+def _profile(function: float, classes: tuple[float, ...], **bins: float) -> tuple[np.ndarray, float, np.ndarray]:
     part = np.array([bins.get(b, 0.0) for b in BINS])
-    return np.concatenate([W_STRUCTURE * part / part.sum(), W_FUNCTION * np.array([function, 1 - function]), W_CLASS * np.array(classes) / sum(classes)])
+    return part / part.sum(), function, np.array(classes) / sum(classes)
 
 
+#: (kind, bins, share of function words, character classes)
 PROFILES = (
-    ("prose", _profile(0.35, (0.70, 0.22, 0.04, 0.04), sentences=0.94, entries=0.05, figures=0.01)),
-    ("list", _profile(0.08, (0.62, 0.22, 0.06, 0.10), entries=0.95, sentences=0.05)),
-    ("table", _profile(0.03, (0.50, 0.15, 0.22, 0.13), records=0.95, entries=0.05)),
-    ("junk", _profile(0.02, (0.50, 0.20, 0.05, 0.25), broken=0.95, entries=0.05)),
-    ("junk", _profile(0.02, (0.70, 0.20, 0.03, 0.07), menu=0.90, entries=0.10)),
-    ("junk", _profile(0.00, (0.00, 0.00, 0.95, 0.05), figures=0.95, entries=0.05)),
-    ("junk", _profile(0.02, (0.70, 0.20, 0.03, 0.07), repeated=0.95, sentences=0.05)),
+    ("prose", *_profile(0.35, (0.70, 0.22, 0.04, 0.04), sentences=0.94, entries=0.05, figures=0.01)),
+    ("list", *_profile(0.04, (0.62, 0.22, 0.06, 0.10), entries=0.95, sentences=0.05)),
+    ("table", *_profile(0.03, (0.50, 0.15, 0.22, 0.13), records=0.95, entries=0.05)),
+    ("junk", *_profile(0.02, (0.50, 0.20, 0.05, 0.25), broken=0.95, entries=0.05)),
+    ("junk", *_profile(0.02, (0.70, 0.20, 0.03, 0.07), menu=0.90, entries=0.10)),
+    ("junk", *_profile(0.00, (0.00, 0.00, 0.95, 0.05), figures=0.95, entries=0.05)),
+    ("junk", *_profile(0.02, (0.70, 0.20, 0.03, 0.07), repeated=0.95, sentences=0.05)),
 )
 
 
@@ -85,6 +112,10 @@ class Analyser:
 
     def __init__(self, common: set[str]) -> None:
         self.common = common
+        self.script, self.numbers = _Script(), {}
+        for k, listed in enumerate(FUNCTION_WORDS.values()):
+            for n, w in enumerate(dict.fromkeys(listed.split())):
+                self.numbers.setdefault(w, []).append(k * (TOP + 1) + min(n, TOP))
         self.function = {w for ws in FUNCTION_WORDS.values() for w in ws.split()} | common
         self.cache: dict[str, tuple] = {}
         self.classes: dict[str, int] = {}
@@ -97,7 +128,8 @@ class Analyser:
         return got
 
     def piece(self, piece: str) -> tuple:
-        """(words, their length, common, function, letters, marks, digits, symbols, flag); flag b: broken, f: figure, s: no letter or digit."""
+        """(words, their length, common, function, letters, marks, digits, symbols, flag, scripts of its letters as numbers, function words as numbers);
+        flag b: broken, f: figure, s: no letter or digit."""
         got = self.cache.get(piece)
         if got is not None:
             return got
@@ -105,6 +137,7 @@ class Analyser:
         classes = [0, 0, 0, 0, 0]
         for ch in piece:
             classes[self._class(ch)] += 1
+        script = tuple(k for ch in piece if (k := self.script[ch]) >= 0)
         flag = ""
         high = sum("\x80" <= c <= "\xbf" for c in piece)
         if BROKEN.search(piece) or high >= 2 or CODE.search(piece):
@@ -119,7 +152,7 @@ class Analyser:
             flag = "b"
         elif INDIC_BROKEN.search(piece):
             flag = "i"
-        got = (len(found), sum(map(len, found)), sum(w in self.common for w in found), sum(w in self.function for w in found), *classes[:4], flag)
+        got = (len(found), sum(map(len, found)), sum(w in self.common for w in found), sum(w in self.function for w in found), *classes[:4], flag, script, tuple(n for w in found for n in self.numbers.get(w, ())))
         if len(piece) <= CACHE_LENGTH:
             if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
@@ -188,12 +221,12 @@ class Analyser:
                 return parts
         return [line]
 
-    def analyse(self, text: str | None) -> tuple[tuple[float, ...], np.ndarray]:
-        """((word count, mean word length, symbol ratio, share of lines that end in punctuation, share of common words), distribution)."""
+    def analyse(self, text: str | None) -> tuple[tuple[float, ...], Shape]:
+        """((word count, mean word length, symbol ratio, share of lines that end in punctuation, share of common words), distributions)."""
         text = text or ""
         lines = [line for line in LINE_BREAK.split(text) if line.strip()]
         flat = [self.piece(p) for p in text.split()]
-        *sums, flag_column = zip(*flat, strict=True) if flat else ((),) * 9
+        *sums, flag_column, scripts, numbers = zip(*flat, strict=True) if flat else ((),) * 11
         total = np.array([sum(c) for c in sums], float) if flat else np.zeros(8)
         flags = Counter(flag_column)
         n_words, seen = total[0], max(total[4:8].sum(), 1)
@@ -204,8 +237,14 @@ class Analyser:
             self._structure(text, lines, flags, bins)
         part = np.array([bins[b] for b in BINS])
         part = part / part.sum() if part.sum() else np.array([0, 0, 0, 1.0, 0, 0, 0])
-        function = min(total[3] / max(n_words, 1), 1.0)
-        return figures, np.concatenate([W_STRUCTURE * part, W_FUNCTION * np.array([function, 1 - function]), W_CLASS * total[4:8] / seen])
+        hits = np.bincount(np.array(list(chain.from_iterable(numbers)), int), minlength=len(LANGUAGES) * (TOP + 1)).reshape(-1, TOP + 1)
+        letters = np.bincount(np.array(list(chain.from_iterable(scripts)), int), minlength=len(SCRIPT_NAMES))
+        lang = decide({SCRIPT_NAMES[k]: letters[k] for k in np.flatnonzero(letters)}, {LANGUAGES[k]: n for k, n in enumerate(hits.sum(axis=1)) if n})
+        own = hits[LANGUAGES.index(lang)] if lang in LANGUAGES else np.zeros(TOP + 1)
+        function = np.append(own, max(n_words - own.sum(), 0)) / max(n_words, own.sum(), 1)
+        if not n_words:
+            function[-1] = 1
+        return figures, Shape(lang, part, function, total[4:8] / seen, float(n_words))
 
     def _structure(self, text: str, lines: list[str], flags: Counter, bins: dict[str, float]) -> None:
         pieces = sum(flags.values())
@@ -262,49 +301,131 @@ class Analyser:
             bins[kind] += mass
 
 
-def fit(rows: list[tuple[str, np.ndarray]]) -> list[tuple[str, np.ndarray]]:
-    """The built-in profiles, each mixed with the labelled rows of its kind that are nearest to it."""
-    mine: list[list[np.ndarray]] = [[] for _ in PROFILES]
-    for kind, vector in rows:
-        own = [n for n, (k, _) in enumerate(PROFILES) if k == kind]
+def built_in(lang: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(function words, character classes) of prose where no labels say more: shares where characters are words, classes by vowel signs."""
+    return UNSPACED_FUNCTION if lang in ("zh", "ja") else PROSE_FUNCTION, SIGNS if lang in WITH_SIGNS else PLAIN
+
+
+class Profiles:
+    """The profiles of each kind, and of the prose and the loose words of each language; see ``fit``."""
+
+    def __init__(self, kinds: list[tuple[str, np.ndarray, float, np.ndarray]], prose: dict[str | None, tuple[np.ndarray, np.ndarray]]) -> None:
+        self.kinds, self.prose = kinds, prose
+        self.order = sorted(range(len(kinds)), key=lambda n: (KINDS.index(kinds[n][0]), n))
+        self.joint: dict[str | None, np.ndarray] = {}
+
+    def of(self, lang: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(function words, character classes) of the language's prose."""
+        if lang not in self.prose:
+            self.prose[lang] = built_in(lang)
+        return self.prose[lang]
+
+    def loose(self, lang: str | None, share: float) -> np.ndarray:
+        """Function words where they have so small a share, in the proportions of the language's prose; at most LOOSE_PART of the share there."""
+        own = self.of(lang)[0][:-1]
+        share = min(share, LOOSE_PART * own.sum())
+        return np.append(share * own / max(own.sum(), 1e-9), 1 - share)
+
+    def prose_share(self, shapes: list[Shape]) -> np.ndarray:
+        """How far each text is the prose of its language and not loose words of it, 0 to 1. Few words say little and leave a text as it is."""
+        prose, loose = [], []
+        for x in shapes:
+            function, classes = self.of(x.lang)
+            prose.append(np.concatenate([function * W_FUNCTION, classes * W_CLASS]) / (W_FUNCTION + W_CLASS))
+            loose.append(np.concatenate([self.loose(x.lang, LOOSE_FUNCTION) * W_FUNCTION, classes * W_CLASS]) / (W_FUNCTION + W_CLASS))
+        p, q = np.array(prose), np.array(loose)
+        weight = np.array([x.words for x in shapes])[:, None]
+        own = np.array([np.concatenate([x.function * W_FUNCTION, x.classes * W_CLASS]) for x in shapes]) / (W_FUNCTION + W_CLASS)
+        own = (own * weight + p * SMOOTH) / (weight + SMOOTH)
+        far, near = divergences(own, q), divergences(own, p)
+        return far**2 / np.maximum(far**2 + near**2, 1e-12)
+
+    def nearest(self, shapes: list[Shape]) -> list[tuple[str, float]]:
+        if not shapes:
+            return []
+        share = self.prose_share(shapes)
+        vectors = []
+        for x, s in zip(shapes, share, strict=True):
+            bins = x.bins.copy()
+            bins[ENTRIES] += bins[SENTENCES] * (1 - s)
+            bins[SENTENCES] *= s
+            vectors.append(np.concatenate([W_STRUCTURE * bins, W_FUNCTION * x.function, W_CLASS * x.classes]))
+        matrices = np.array([self._joint(x.lang) for x in shapes])
+        far = divergences(np.array(vectors)[:, None, :], matrices)
+        best = far.argmin(axis=1)
+        return [(self.kinds[self.order[b]][0], float(d)) for b, d in zip(best, far[np.arange(len(best)), best], strict=True)]
+
+    def _joint(self, lang: str | None) -> np.ndarray:
+        if lang not in self.joint:
+            function, classes = self.of(lang)
+            rows = []
+            for n in self.order:
+                kind, bins, share, own = self.kinds[n]
+                rows.append(np.concatenate([W_STRUCTURE * bins, W_FUNCTION * (function if kind == "prose" else self.loose(lang, share)), W_CLASS * (classes if kind == "prose" else own)]))
+            self.joint[lang] = np.array(rows)
+        return self.joint[lang]
+
+
+def divergences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """``divergence`` along the last axis."""
+    m = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (np.where(p > 0, p * np.log2(p / m), 0) + np.where(q > 0, q * np.log2(q / m), 0)).sum(axis=-1) / 2
+
+
+def fit(rows: list[tuple[str, Shape]]) -> Profiles:
+    """The built-in profiles, each mixed with the labelled rows of its kind that are nearest to it by what their words stand in; the prose of each
+    language with its labelled prose."""
+    mine: list[list[Shape]] = [[] for _ in PROFILES]
+    prose: dict[str | None, list[Shape]] = {}
+    for kind, shape in rows:
+        own = [n for n, profile in enumerate(PROFILES) if profile[0] == kind]
         if own:
-            mine[min(own, key=lambda n: divergence(vector, PROFILES[n][1]))].append(vector)
-    return [(k, (PRIOR_ROWS * p + sum(got, np.zeros_like(p))) / (PRIOR_ROWS + len(got))) for (k, p), got in zip(PROFILES, mine, strict=True)]
+            mine[min(own, key=lambda n: divergence(shape.bins, PROFILES[n][1]))].append(shape)
+        if kind == "prose":
+            prose.setdefault(shape.lang, []).append(shape)
+
+    def mixed(start, weight: float, got: list):
+        return (weight * start + sum(got)) / (weight + len(got)) if got else start
 
+    kinds = [(kind, mixed(bins, PRIOR_ROWS, [x.bins for x in got]), float(mixed(share, PRIOR_ROWS, [1 - x.function[-1] for x in got])), mixed(classes, PRIOR_ROWS, [x.classes for x in got])) for (kind, bins, share, classes), got in zip(PROFILES, mine, strict=True)]
+    of = {lang: tuple(mixed(start, PRIOR_LANGUAGE, [x[k] for x in got]) for k, start in zip((2, 3), built_in(lang), strict=True)) for lang, got in prose.items()}
+    return Profiles(kinds, of)
 
-def nearest(vector: np.ndarray, profiles: list[tuple[str, np.ndarray]]) -> tuple[str, float]:
-    best = min(range(len(profiles)), key=lambda n: (divergence(vector, profiles[n][1]), KINDS.index(profiles[n][0]), n))
-    return profiles[best][0], divergence(vector, profiles[best][1])
 
+def nearest(shape: Shape, profiles: Profiles) -> tuple[str, float]:
+    return profiles.nearest([shape])[0]
 
-def labelled_profiles(df: DataFrame, labels: DataFrame, common: set[str], id_col: str = "row_id", text_col: str = "text") -> list[tuple[str, np.ndarray]]:
-    """Profiles fitted on the decided labels, at most LABELLED_ROWS of them (least hash of the id first)."""
+
+def labelled_profiles(df: DataFrame, labels: DataFrame, common: set[str], id_col: str = "row_id", text_col: str = "text") -> Profiles:
+    """Profiles fitted on the decided labels, at most LABELLED_ROWS of them (least hash of the id first). Texts are analysed where they are;
+    only their distributions reach the driver."""
     some = labels.where(F.col("kind").isin(*KINDS)).orderBy(F.xxhash64(id_col), id_col).limit(LABELLED_ROWS)
-    rows = df.select(id_col, text_col).join(F.broadcast(some.select(id_col, "kind")), id_col).select("kind", text_col).collect()
-    analyser = Analyser(common)
-    return fit([(r["kind"], analyser.analyse(r[text_col])[1]) for r in rows])
+
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        analyser = Analyser(common)
+        for batch in batches:
+            got = [analyser.analyse(text)[1] for text in batch.column(1).to_pylist()]
+            lists = [pa.array([list(map(float, x[k])) for x in got], pa.list_(pa.float64())) for k in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.lang for x in got], pa.string()), *lists, pa.array([x.words for x in got], pa.float64())], names=["kind", "lang", "bins", "function", "classes", "words"])
+
+    rows = df.select(id_col, text_col).join(F.broadcast(some.select(id_col, "kind")), id_col).select("kind", text_col)
+    found = rows.mapInArrow(shapes, "kind string, lang string, bins array<double>, function array<double>, classes array<double>, words double").collect()
+    return fit([(r["kind"], Shape(r["lang"], np.array(r["bins"]), np.array(r["function"]), np.array(r["classes"]), r["words"])) for r in found])
 
 
-def statistics(df: DataFrame, profiles: list[tuple[str, np.ndarray]], common: set[str], id_col: str = "row_id", text_col: str = "text") -> DataFrame:
+def statistics(df: DataFrame, profiles: Profiles, common: set[str], id_col: str = "row_id", text_col: str = "text") -> DataFrame:
     """(id_col, word_count, mean_word_length, symbol_ratio, punctuated_lines, common_share, kind, divergence) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         analyser = Analyser(common)
-        names = [k for k, _ in profiles]
-        matrix = np.array([p for _, p in profiles])
-        order = sorted(range(len(names)), key=lambda n: (KINDS.index(names[n]), n))
         for batch in batches:
             for block in blocks(batch):
                 got = [analyser.analyse(text) for text in block.column(1).to_pylist()]
-                p = np.array([v for _, v in got])[:, None, :]
-                q = matrix[order][None]
-                m = (p + q) / 2
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    far = (np.where(p > 0, p * np.log2(p / m), 0) + np.where(q > 0, q * np.log2(q / m), 0)).sum(axis=2) / 2
-                best = far.argmin(axis=1)
+                kinds, far = zip(*profiles.nearest([x for _, x in got]), strict=True)
                 columns = list(zip(*(f for f, _ in got), strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [block.column(0), pa.array(columns[0], pa.int64()), *(pa.array(np.array(c, float)) for c in columns[1:]), pa.array([names[order[b]] for b in best]), pa.array(far[np.arange(len(best)), best])],
+                    [block.column(0), pa.array(columns[0], pa.int64()), *(pa.array(np.array(c, float)) for c in columns[1:]), pa.array(kinds), pa.array(far)],
                     names=[id_col, "word_count", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_share", "kind", "divergence"],
                 )
 
