@@ -35,7 +35,7 @@ from .words import words
 
 DEFECTS = ("empty", "refusal", "copy", "wrong_language", "truncated")
 #: Posteriors above which a row has a defect; validated on defects put into sound rows by tests/llm/test_defects.py.
-CUTOFFS = {"empty": 0.5, "refusal": 0.9, "copy": 0.5, "wrong_language": 0.5, "truncated": 0.5}
+CUTOFFS = {"empty": 0.5, "refusal": 0.9, "copy": 0.5, "wrong_language": 0.9, "truncated": 0.5}
 #: Rows of each class that the guesses below weigh as much as.
 PRIOR_ROWS = 5
 # What stands in place of a summary.
@@ -289,6 +289,8 @@ def _language_votes(text: str, of_text: tuple, of_summary: tuple, known: float,
     if not lt or not ls:
         return votes
     st, ss = SCRIPT_OF[lt], SCRIPT_OF[ls]
+    if st == ss and lt != ls and of_text[1].get(lt, 0) < 3:
+        return votes  # the script alone does not show which of its languages the text has
     mine = sum(of_summary[0].values())
     if st in ("han", "kana") and ss in ("han", "kana"):
         kana = min(of[0].get("kana", 0) / sum(of[0].values()) for of in (of_text, of_summary))
