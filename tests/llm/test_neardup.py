@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vaksetu.llm import neardup, overlap
 from vaksetu.llm.dartminhash import bands, signatures, sketch
@@ -197,3 +198,32 @@ def test_coverage_without_evaluation_rows(spark):
 def test_no_evaluation_rows(spark):
     data = spark.createDataFrame([(1, "a-1", "क ख ग घ", None, "train", "s", 1, "x")], SCHEMA)
     assert overlap.overlaps(data).count() == 0 and overlap.overlaps(data.limit(0)).count() == 0
+
+
+def test_hot_groups_and_bands(spark, monkeypatch):
+    """Parts of a band, of a group of copies and of both ends of a link: the same pairs as in one piece."""
+    from vaksetu.llm import joins
+
+    base = " ".join(f"w{n}" for n in range(40))
+    rows = [(n, base) for n in range(1, 40)] + [(100 + n, f"{base} x{n}") for n in range(30)] + [(200 + n, f"{base} x7") for n in range(20)] + [(300 + n, f"other {n} text {n} here") for n in range(9)]
+    for part in (joins.PART_ROWS, 4):
+        monkeypatch.setattr(joins, "PART_ROWS", part)
+        monkeypatch.setattr(neardup, "PART_ROWS", part)
+        found = neardup.row_pairs(*neardup.near_links(frame(spark, rows)), "a", "b").collect()
+        assert len(found) == len(set(found)) and set(map(tuple, found)) == brute(rows)
+
+
+def test_band_shared_by_many_texts(spark):
+    """50,000 different texts in one band, in 25 parts: those whose sketches are near find each other, and nothing else is a pair."""
+    banded = spark.range(50_000).selectExpr("id AS k", "IF(id < 3, id, xxhash64(id)) AS s", "1L AS h").union(spark.range(2).selectExpr("-id - 1 AS k", "0L AS s", "2L AS h"))
+    found = {tuple(r) for r in neardup.met_in_bands(banded, 3).collect()}
+    assert found == {(0, 1), (0, 2), (1, 2), (-2, -1)}
+
+
+def test_one_key_for_two_texts(spark):
+    """Two texts with one 64-bit key: both are compared with a third."""
+    one, two = " ".join(f"w{n}" for n in range(30)), " ".join(f"v{n}" for n in range(30))
+    rows = spark.createDataFrame([(7, b"1", one), (7, b"2", two), (8, b"3", one + " x"), (9, b"4", two + " x")], "k long, d binary, text string").coalesce(1)
+    assert {tuple(r) for r in neardup.candidates(rows).collect()} == {(7, 8), (7, 9)}
+    found = neardup.verified(rows, neardup.cut(neardup.candidates(rows))).collect()
+    assert {(bytes(r.da), bytes(r.db)) for r in found} == {(b"1", b"3"), (b"2", b"4")}
