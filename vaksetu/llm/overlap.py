@@ -23,14 +23,11 @@ train, validation and test is left out. Equal texts of fewer than three words ov
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import io
 import pickle
 import uuid
 from collections.abc import Iterator
 from itertools import chain
-from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +35,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut, shared_dir
+from ..runtime import cut
+from .joins import met
 from .neardup import BLOCK, THRESHOLD, blocks, keyed, list_array, verified
+from .store import file_system, new_folder
 from .words import GOLDEN, U64, WordHasher, mix, words
 
 RUN, SUMMARY_WORDS = 3, 8
@@ -168,25 +167,21 @@ def all_passages(texts: DataFrame, counts: np.ndarray, threshold: float = THRESH
     return texts.select("k", "text").mapInArrow(every, "k bigint, words bigint, need int, keys array<bigint>, runs array<bigint>, rare array<boolean>")
 
 
-def _file_system(uri: str):
-    from pyarrow import fs
-
-    if urlsplit(uri).scheme in ("", "file"):
-        return fs.LocalFileSystem(), urlsplit(uri).path
-    return fs.FileSystem.from_uri(uri)
-
-
 def _filter_bit(keys: np.ndarray) -> np.ndarray:
     return (mix(keys.view(U64) ^ U64(0x5BD1E995)) & U64(FILTER_BITS - 1)).astype(np.int64)
 
 
-def _stretches(hashes: np.ndarray, offsets: np.ndarray, bits: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def _filter_bits(hashes: np.ndarray) -> np.ndarray:
+    """The place of each run of words in the bit table of any shard."""
+    return _filter_bit(_passage_key(hashes, np.arange(max(len(hashes) - RUN + 1, 0)))).astype(np.int32)
+
+
+def _stretches(hashes: np.ndarray, offsets: np.ndarray, at: np.ndarray, bits: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """The symbols of each text, without the words that no passage of the shard can reach; a space stands in each gap. With them the words
     that are left, where the symbols of each end, and where those of each text begin."""
     words_ = len(hashes)
     cover = np.zeros(words_ + 2, bool)
     if words_ >= RUN:
-        at = _filter_bit(_passage_key(hashes, np.arange(words_ - RUN + 1)))
         some = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
         # a run that reaches into the next text starts in this one's last two words
         text = np.searchsorted(offsets, some, side="right")
@@ -206,12 +201,6 @@ def _stretches(hashes: np.ndarray, offsets: np.ndarray, bits: np.ndarray) -> tup
     return [symbols[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)], kept, ends, stops
 
 
-def _remove(folder: str) -> None:
-    files, path = _file_system(folder)
-    with contextlib.suppress(OSError):
-        files.delete_dir(path)
-
-
 def _write_arrays(files, path: str, name: str, **arrays: np.ndarray) -> None:
     holds = io.BytesIO()
     np.savez(holds, **arrays)
@@ -252,7 +241,7 @@ def build_automata(chosen: DataFrame, folder: str, shards: int) -> None:
             for n, (shard, k, need) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True)):
                 keys, ats = (batch.column(c)[n].values.to_numpy(zero_copy_only=False) for c in (3, 4))
                 parts.setdefault(shard, []).append((k, need, keys, ats))
-        files, path = _file_system(folder)
+        files, path = file_system(folder)
         for shard, texts in parts.items():
             texts = list({t[0]: t for t in texts}.values())  # a text that several tasks had
             sizes = np.array([len(t[2]) for t in texts])
@@ -265,7 +254,7 @@ def build_automata(chosen: DataFrame, folder: str, shards: int) -> None:
             )
         yield pa.RecordBatch.from_arrays([pa.array(sorted(parts), pa.int32())], names=["shard"])
 
-    files, path = _file_system(folder)
+    files, path = file_system(folder)
     files.create_dir(path, recursive=True)
     sharded = chosen.select(F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int").alias("shard"), "k", "need", "keys", "ats")
     sharded.repartition(shards, "shard").mapInArrow(build, "shard int").count()
@@ -280,7 +269,7 @@ def build_whole_automata(chosen: DataFrame, folder: str, shards: int) -> None:
         for batch in batches:
             for n, (shard, k, need) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True)):
                 parts.setdefault(shard, {})[k] = (need, *(batch.column(c)[n].values.to_numpy(zero_copy_only=False) for c in (3, 4, 5)))
-        files, path = _file_system(folder)
+        files, path = file_system(folder)
         for shard, texts in parts.items():
             sizes = np.array([len(t[1]) for t in texts.values()])
             keys, hashes, rare = (np.concatenate([t[c] for t in texts.values()]) for c in (1, 2, 3))
@@ -297,7 +286,7 @@ def build_whole_automata(chosen: DataFrame, folder: str, shards: int) -> None:
             )
         yield pa.RecordBatch.from_arrays([pa.array(sorted(parts), pa.int32())], names=["shard"])
 
-    files, path = _file_system(folder)
+    files, path = file_system(folder)
     files.create_dir(path, recursive=True)
     sharded = chosen.where(F.size("keys") > 0).select(F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int").alias("shard"), "k", "need", "keys", "runs", "rare")
     sharded.repartition(shards, "shard").mapInArrow(build, "shard int").count()
@@ -321,7 +310,7 @@ def _read(folder: str, shard: int):
     import ahocorasick
     from pyarrow import fs
 
-    files, path = _file_system(folder)
+    files, path = file_system(folder)
     name = f"{path}/{shard}"
     if files.get_file_info(name).type == fs.FileType.NotFound:
         return None
@@ -378,13 +367,13 @@ def scan(texts: DataFrame, folder: str, shards: int) -> DataFrame:
     """(kt, ke, matched, covered, intervals) of the pairs that have enough passages in common."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(keys, hashes, offsets) for keys, hashes, offsets in _fresh(batches) if keys]
+        held = [(keys, hashes, offsets, _filter_bits(hashes)) for keys, hashes, offsets in _fresh(batches) if keys]
         # what the worker's last task left in memory comes first
         for shard in sorted(range(shards), key=lambda s: (folder, s) not in _HELD):
             loaded = _load(folder, shard) if held else None
             if loaded:
-                for keys, hashes, offsets in held:
-                    if (batch := _matches(loaded[1], keys, _passages_hit(loaded[0], _stretches(hashes, offsets, loaded[1]["bits"])[0]))) is not None:
+                for keys, hashes, offsets, at in held:
+                    if (batch := _matches(loaded[1], keys, _passages_hit(loaded[0], _stretches(hashes, offsets, at, loaded[1]["bits"])[0]))) is not None:
                         yield batch
 
     return texts.select("k", "text").mapInArrow(search, "kt bigint, ke bigint, matched bigint, covered bigint, intervals bigint")
@@ -393,8 +382,7 @@ def scan(texts: DataFrame, folder: str, shards: int) -> DataFrame:
 def passage_matches(train: DataFrame, evaluation: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(kt, ke, matched, covered, intervals): training and evaluation texts that share enough passages."""
     chosen = cut(passages(evaluation, passage_counts(evaluation), threshold))
-    folder = f"{shared_dir(train.sparkSession).rstrip('/')}/automata-{uuid.uuid4().hex}"
-    atexit.register(_remove, folder)  # the scan is lazy: its automata are needed as long as its result may be read
+    folder = new_folder(train.sparkSession, "automata")
     total = chosen.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-total // SHARD_PASSAGES))
     build_automata(chosen, folder, shards)
@@ -429,12 +417,13 @@ def summary_keys(df: DataFrame, id_col: str, summary_col: str, split_col: str) -
 
 
 def _equal(keys: DataFrame, key: str) -> DataFrame:
-    """(t, e): training and evaluation rows of one key. Keys that only one side has are dropped before rows meet."""
+    """(t, e): training and evaluation rows of one key. Keys that only one side has are dropped before rows meet; a key with many rows meets in
+    parts."""
     both = keys.groupBy(key).agg(F.max(F.col("split") == "train").alias("t"), F.max(F.col("split") != "train").alias("e")).where("t AND e").select(key)
-    rows = keys.join(both, key, "left_semi")
+    rows = cut(keys.join(both, key, "left_semi"))
     train = rows.where("split = 'train'").select(key, F.col("id").alias("t"))
     evaluation = rows.where("split <> 'train'").select(key, F.col("id").alias("e"))
-    return train.join(evaluation, key).select("t", "e")
+    return met(train, evaluation, key, "t", "e").select("t", "e")
 
 
 def overlaps(df: DataFrame, id_col: str = "row_id", name_col: str = "id", text_col: str = "text", summary_col: str = "summary", split_col: str = "split") -> DataFrame:
@@ -443,7 +432,8 @@ def overlaps(df: DataFrame, id_col: str = "row_id", name_col: str = "id", text_c
     members, links = text_overlaps(df, id_col, text_col, split_col)
     train = members.where("split = 'train'").select(F.col("d").alias("dt"), F.col("id").alias("t"))
     evaluation = members.where("split <> 'train'").select(F.col("d").alias("de"), F.col("id").alias("e"))
-    near = links.select("dt", "de").join(train, "dt").join(evaluation, "de").select("t", "e")
+    links = cut(links.select("dt", "de").withColumn("_link", F.monotonically_increasing_id()))
+    near = met(evaluation, cut(met(train, links, "dt", "t", "_link").select("t", "de")), "de", "e", "t").select("t", "e")
     same = _equal(members.select("id", "d", "split"), "d")
     number = F.regexp_extract(name_col, r"-0*([0-9]+)$", 1)
     # both are read three times each
@@ -470,15 +460,15 @@ def scan_whole(texts: DataFrame, folder: str, shards: int) -> DataFrame:
     """(shard, run) of the runs of evaluation texts that stand in a training text, and (kt, ke) of the pairs that ``scan`` finds."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(keys, hashes, offsets) for keys, hashes, offsets in _fresh(batches) if keys]
+        held = [(keys, hashes, offsets, _filter_bits(hashes)) for keys, hashes, offsets in _fresh(batches) if keys]
         for shard in sorted(range(shards), key=lambda s: (folder, s) not in _HELD):
             loaded = _load(folder, shard) if held else None
             if not loaded:
                 continue
             automaton, holds = loaded
             marks = np.zeros(len(holds["full"]), bool)
-            for keys, hashes, offsets in held:
-                strings, kept, ends, stops = _stretches(hashes, offsets, holds["bits"])
+            for keys, hashes, offsets, at in held:
+                strings, kept, ends, stops = _stretches(hashes, offsets, at, holds["bits"])
                 hits = _hits(automaton, strings)
                 marks[_marked(holds, hashes, hits, kept, ends, stops)] = True
                 if (found := _matches(holds, keys, [h[:, 1] for h in hits])) is not None:
@@ -495,7 +485,7 @@ def merged(found: DataFrame, folder: str, shards: int) -> DataFrame:
     """(ke, covered, intervals): the words of each evaluation text that the marked runs (shard, run) cover, as merged intervals."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, path = _file_system(folder)
+        files, path = file_system(folder)
         texts: dict[int, dict[str, np.ndarray]] = {}
         marks: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -531,8 +521,7 @@ def coverage(df: DataFrame, id_col: str = "row_id", text_col: str = "text", spli
     known = df.where(F.col(split_col).isin("train", *EVALUATION))
     train, evaluation = keyed(known.where(F.col(split_col) == "train"), id_col, text_col), keyed(known.where(F.col(split_col) != "train"), id_col, text_col)
     chosen = cut(all_passages(evaluation, passage_counts(evaluation)))
-    folder = f"{shared_dir(train.sparkSession).rstrip('/')}/automata-{uuid.uuid4().hex}"
-    atexit.register(_remove, folder)  # the merge is lazy
+    folder = new_folder(train.sparkSession, "automata")
     total = chosen.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-total // SHARD_PASSAGES))
     build_whole_automata(chosen, folder, shards)
