@@ -83,22 +83,23 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def candidates(texts: DataFrame, run: int = RUN, n_bands: int = BANDS, n_rows: int = ROWS, bits: int = SKETCH_BITS) -> DataFrame:
     """(ka, kb), ka < kb: keys of different texts that share a band and whose sketches agree enough; with bits of 64 all that share a band.
 
-    Bands are shuffled once; they are counted and joined where they lie. The parts of a band with many texts are shuffled once more."""
-    signed = texts.select("k", "text", "d").mapInArrow(_signing(run, n_bands, n_rows), "k bigint, s bigint, b array<bigint>")
+    Signatures are made once and cut, as their bands are counted and then joined."""
+    signed = cut(texts.select("k", "text", "d").mapInArrow(_signing(run, n_bands, n_rows), "k bigint, s bigint, b array<bigint>"))
     return met_in_bands(signed.select("k", "s", F.explode("b").alias("h")), bits)
 
 
 def met_in_bands(banded: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
-    """(ka, kb), ka < kb, of the rows (k: key, s: sketch, h: band) that share a band and differ in at most so many bits of their sketches."""
-    banded = banded.repartition("h")
-    many = banded.groupBy("h").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts")).where("parts > 1")
+    """(ka, kb), ka < kb, of the rows (k: key, s: sketch, h: band) that share a band and differ in at most so many bits of their sketches. banded is
+    read several times: it must be cheap."""
+    many = cut(banded.groupBy("h").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts")).where("parts > 1"))
 
     def near(a: DataFrame, b: DataFrame, more: str = "") -> DataFrame:
         on = F.expr(f"a.h = b.h{more} AND a.k < b.k AND bit_count(a.s ^ b.s) <= {bits}")
         return a.alias("a").join(b.alias("b"), on).select(F.col("a.k").alias("ka"), F.col("b.k").alias("kb"))
 
-    few = banded.join(many, "h", "left_anti")
-    hot = banded.join(many, "h")
+    if many.isEmpty():  # no band is in parts
+        return near(banded, banded).distinct()
+    few, hot = banded.join(many, "h", "left_anti"), cut(banded.join(many, "h"))
     spread = hot.withColumn("part", F.pmod("k", "parts"))
     each = hot.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     return near(few, few).union(near(spread, each, " AND a.part = b.part")).distinct()
