@@ -79,13 +79,22 @@ def scored(df: DataFrame, prediction: str = "prediction", reference: str = "refe
 
 
 def evaluated(scores: DataFrame, by: str = "system") -> DataFrame:
-    """Means of per-row scores by system; 0 for an empty set has no row, as there is no group."""
+    """Means of per-row scores by system. A system without rows has no group; ``evaluated_whole`` gives zeros for no rows at all."""
     extra = [F.avg("novel_bigram").alias("novel_bigram_ratio"), F.avg(F.col("unsupported").cast("int")).alias("unsupported_number_rate")] if "unsupported" in scores.columns else []
     return scores.groupBy(by).agg(
         F.count("*").alias("num_examples"), *(F.avg(c).alias(f"{c}_mean") for c in ("rouge1", "rouge2", "rougeL")), F.avg("words").alias("avg_summary_words"), *extra
     )
 
 
+def evaluated_whole(scores: DataFrame) -> DataFrame:
+    """One row of means over all rows; of no rows the ROUGE means and the words are 0, the diagnostics null."""
+    found = evaluated(scores.withColumn("_all", F.lit(0)), "_all").drop("_all")
+    one = scores.sparkSession.range(1).select(F.lit(0).alias("_all"))
+    zero = {"num_examples", "avg_summary_words", *(f"{c}_mean" for c in ("rouge1", "rouge2", "rougeL"))}
+    joined = one.join(found.withColumn("_all", F.lit(0)), "_all", "left")
+    return joined.select(*((F.coalesce(c, F.lit(0)) if c in zero else F.col(c)).alias(c) for c in found.columns))
+
+
 def bootstrap(scores: DataFrame, value: str, by: str = "system", resamples: int = 1000, alpha: float = 0.05, seed: int = 0, order: str = "pos") -> DataFrame:
     """(by, low, high): the distributed bootstrap. Draw i of resample r is the row number md5(seed, r, i) mod n of its group, so a run
     repeats exactly; each row meets the draws that name it by an equi-join, and only sums are shuffled."""
@@ -98,15 +107,21 @@ def bootstrap(scores: DataFrame, value: str, by: str = "system", resamples: int
     return means.groupBy(by).agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
 
 
+def _resampled(values: np.ndarray, resamples: int, seed: int) -> Iterator[float]:
+    """The mean of each resample, in blocks of DRAWS draws; draws in blocks are those of one call of the generator."""
+    source, rows, left = np.random.default_rng(seed), max(1, DRAWS // len(values)), resamples
+    while left > 0:
+        drawn = source.integers(0, len(values), size=(min(rows, left), len(values)))
+        yield from values.take(drawn).mean(axis=1)
+        left -= len(drawn)
+
+
 def bootstrap_interval(values: np.ndarray, resamples: int = 1000, alpha: float = 0.05, seed: int = 0) -> tuple[float, float]:
     """The interval as numpy's default generator draws it; (0, 0) without values."""
     if not len(values):
         return 0.0, 0.0
-    values, generator = np.asarray(values), np.random.default_rng(seed)
-    block = max(1, DRAWS // len(values))  # draws in blocks are those of one call
-    means = [values[generator.integers(0, len(values), size=(min(block, resamples - at), len(values)))].mean(axis=1) for at in range(0, resamples, block)]
-    low, high = np.quantile(np.concatenate(means), [alpha / 2, 1 - alpha / 2])
-    return float(low), float(high)
+    means = np.fromiter(_resampled(np.asarray(values, float), resamples, seed), float, resamples)
+    return tuple(float(np.quantile(means, side)) for side in (alpha / 2, 1 - alpha / 2))
 
 
 def bootstrap_exact(scores: DataFrame, values: tuple[str, ...] = ("rouge1", "rouge2", "rougeL"), by: str = "system", order: str = "pos", resamples: int = 1000) -> DataFrame:
