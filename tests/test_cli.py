@@ -37,3 +37,19 @@ def test_baseline_and_evaluate_give_intervals(tmp_path):
     made.write_text("\n".join(json.dumps({"system": "s", "id": r["id"], "prediction": r["text"], "reference": r["summary"]}, ensure_ascii=False) for r in rows), encoding="utf-8")
     cli.main(["evaluate", "--input", str(made), "--output", str(out)])
     assert "rougeL_ci95" in out.read_text(encoding="utf-8")
+
+
+def test_infer_and_run_eval(tmp_path, capsys):
+    cli.main(["infer", "--model", "vaksetu.operators.sequence:FirstWords", "--text", "एक दो तीन"])
+    assert capsys.readouterr().out.strip() == "एक दो तीन"
+    done, out = tmp_path / "done" / "split=test", tmp_path / "out.json"
+    done.mkdir(parents=True)
+    rows = [{"id": f"t{n}", "text": f"पहला वाक्य {n} है। दूसरा वाक्य यहाँ है।", "summary": f"पहला वाक्य {n}"} for n in range(5)]
+    (done / "rows.json").write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in rows), encoding="utf-8")
+    arguments = ["run_eval", "--model", "vaksetu.operators.sequence:FirstWords", "--input", str(tmp_path / "done"), "--output", str(out), "--limit", "4", "--samples", "2"]
+    cli.main(arguments)
+    found = json.loads(out.read_text(encoding="utf-8"))
+    assert found["num_examples"] == 4 and 0 < found["rouge1_mean"] < 1 and [s["id"] for s in found["samples"]] == ["t0", "t1"] and "low" in found["rougeL_ci95"]
+    (done / "rows.json").write_text("", encoding="utf-8")
+    cli.main(arguments)
+    assert json.loads(out.read_text(encoding="utf-8"))["rouge1_mean"] == 0

@@ -302,3 +302,88 @@ def test_numbered(spark):
         mine = sorted((r.o, r.i) for r in found if r.g == g)
         assert [i for _, i in mine] == list(range(len(mine)))
     assert len(found) == 1000 and numbered(spark.createDataFrame([], "g string, o long"), "g", "o").count() == 0
+
+
+def test_splits_keep_their_order(spark, tmp_path):
+    rows = [{"id": f"r{n * 7 % 500}", "text": f"क ख ग {n}", "summary": "क"} for n in range(500)]
+    (tmp_path / "hindi_train.jsonl").write_text("\n".join(json.dumps(x, ensure_ascii=False) for x in rows), encoding="utf-8")
+    read = jsonl.read_raw_split(spark, str(tmp_path), "train", jsonl.files("hindi_"))
+    assert [r.id for r in read.orderBy("pos").collect()] == [x["id"] for x in rows] and read.agg(F.max("pos")).first()[0] == 499
+    out = str(tmp_path / "out")
+    jsonl.write_splits(read.repartition(5), out)
+    assert [r.id for r in jsonl.read_processed(spark, out, "train", 123).collect()] == [x["id"] for x in rows[:123]]
+    assert jsonl.read_processed(spark, out, "train").count() == 500
+
+
+def test_first_usable_of_a_frequent_key_and_ties(spark):
+    rows = spark.createDataFrame([("a", "train", 5, f"x{n}", "s", n > 2) for n in range(400)] + [("b", "train", 1, "t", "s", False)], "id string, split string, pos long, text string, summary string, usable boolean")
+    assert [(r.id, r.text) for r in corpus.first_usable(rows).collect()] == [("a", "x10")]
+
+
+def test_means_of_nothing_are_zeros(spark):
+    found = metrics.evaluated_whole(metrics.scored(spark.createDataFrame([], "prediction string, reference string"))).first()
+    assert (found.num_examples, found.rouge1_mean, found.rouge2_mean, found.rougeL_mean) == (0, 0, 0, 0)
+    assert metrics.evaluated_whole(scores_of(spark, [("क", "क", "क")])).first().rouge1_mean == 1
+
+
+def test_long_document_is_ranked_without_its_square():
+    rng = np.random.default_rng(5)
+    docs = [[f"w{k}" for k in rng.integers(0, 4000, 12)] for _ in range(20_000)]  # the cosines alone would take 3.2 GB
+    scores = select.sentence_scores(docs)
+    assert scores.sum() == pytest.approx(1, abs=1e-4) and (scores > 0).all()
+    some = docs[:60] + [[]]
+    dense = select.tfidf_matrix(some) @ select.tfidf_matrix(some).T
+    np.fill_diagonal(dense, 0)
+    assert select.sentence_scores(some) == pytest.approx(select.pagerank(dense), abs=1e-9)
+
+
+def test_http(spark):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    server = serve.http_server(spark, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_address[1]}"
+
+    def post(body):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"{at}/summarize", json.dumps(body).encode(), {"Content-Type": "application/json"})) as got:
+                return got.status, json.loads(got.read())
+        except urllib.error.HTTPError as error:
+            return error.code, json.loads(error.read())
+
+    with urllib.request.urlopen(f"{at}/health") as got:
+        assert json.loads(got.read())["status"] == "ok"
+    status, body = post({"texts": [ARTICLE, "एक। दो।"], "method": "lead"})
+    assert status == 200 and body["summaries"] == ["दिल्ली में आज भारी बारिश हुई।", "एक।"] and body["method"] == "lead" and body["latency_ms"] >= 0
+    assert post({"texts": ["एक।"]})[0] == 503 and post({"texts": []})[0] == post({"texts": ["x"], "method": "other"})[0] == post({"texts": 5})[0] == 422
+    server.shutdown()
+
+
+def test_model_configuration():
+    from types import SimpleNamespace as Any
+
+    model = Any(config=Any(), generation_config=Any(), parameters=lambda: [Any(numel=lambda: 6, requires_grad=True), Any(numel=lambda: 4, requires_grad=False)])
+    sequence.configure_generation(model, sequence.SpecialIds())
+    assert model.config.decoder_start_token_id == model.generation_config.decoder_start_token_id == 64006 and model.config.forced_eos_token_id == 64001
+    assert sequence.parameter_counts(model) == {"trainable": 6, "total": 10}
+    assert sequence.imported("vaksetu.operators.sequence:FirstWords") is sequence.FirstWords
+    with pytest.raises(ValueError):
+        sequence.imported("vaksetu")
+
+
+def test_bertscore(spark):
+    rows = spark.createDataFrame([("क", "क"), (None, "ख")], "prediction string, reference string")
+    found = metrics.bertscore(rows, lambda p, r: [(1.0, 0.5, float(a == b)) for a, b in zip(p, r)]).collect()
+    assert [r.bert_f1 for r in found] == [1.0, 0.0]
+
+
+def test_usable_stream(spark, tmp_path):
+    from vaksetu.streaming.requests import usable_stream
+
+    schema = "raw_id long, text string, summary string, delivered_at timestamp"
+    spark.createDataFrame([(1, "क ख ग", "क", None), (1, "क ख ग", "क", None), (2, "क", "क ख", None)], schema).withColumn("delivered_at", F.lit("2024-01-01 00:00:00").cast("timestamp")).write.parquet(str(tmp_path / "in"))
+    stream = usable_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).select("raw_id")
+    stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(60)
+    assert [r.raw_id for r in spark.read.schema("raw_id long").parquet(str(tmp_path / "out")).collect()] == [1]

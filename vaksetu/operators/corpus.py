@@ -16,12 +16,11 @@ def cleaned(raw: DataFrame) -> DataFrame:
 
 
 def first_usable(df: DataFrame, key: tuple[str, ...] = ("split", "id"), order: str = "pos") -> DataFrame:
-    """The first usable row of each key: unusable rows do not block later usable ones. A key's rows are reduced to one by a
-    map-side aggregate, so a frequent key is no large group anywhere; ties of the order go to the least of the whole row."""
-    columns = df.columns
-    rest = [c for c in columns if c not in key]
-    kept = df.where("usable").groupBy(*key).agg(F.min(F.struct(order, *(F.col(c) for c in rest if c != order))).alias("row"))
-    return kept.select(*key, "row.*").select(*columns)
+    """The first usable row of each key: unusable rows do not block later usable ones. Each task keeps the first row of a key before the shuffle
+    (WindowGroupLimit), so a frequent key is no large group anywhere and whole rows are in no aggregate; ties of the order go to the
+    least of the whole row."""
+    first = Window.partitionBy(*key).orderBy(order, *(c for c in df.columns if c not in (*key, order, "usable")))
+    return df.where("usable").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
 
 
 def capped(df: DataFrame, cap: int | None, order: str = "pos") -> DataFrame:

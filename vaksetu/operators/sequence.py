@@ -64,8 +64,8 @@ def encode(ids: Column | str, special: SpecialIds, max_length: int) -> Column:
 
 
 def hashed_ids(text: Column | str, buckets: int = 50_000) -> Column:
-    """Stand-in ids of white-space words (100 plus their length), for tests and data preparation without a vocabulary."""
-    return F.transform(T.whitespace_words(text), lambda w: (F.length(w) + 100).cast("int"))
+    """Stand-in ids of white-space words (100 plus their length, below 100 plus buckets), for tests and data preparation without a vocabulary."""
+    return F.transform(T.whitespace_words(text), lambda w: (F.length(w) % buckets + 100).cast("int"))
 
 
 def preprocess(df: DataFrame, special: SpecialIds, source: str, target: str, max_source: int, max_target: int) -> DataFrame:
@@ -123,6 +123,32 @@ def fine_tune(train: Callable, processes: int, *arguments, gpu: bool = False):
     return TorchDistributor(num_processes=processes, local_mode=False, use_gpu=gpu).run(train, *arguments)
 
 
+def parameter_counts(model) -> dict[str, int]:
+    """Trainable and all parameters of a model whose ``parameters()`` have ``numel()`` and ``requires_grad``."""
+    sizes = [(p.numel(), p.requires_grad) for p in model.parameters()]
+    return {"trainable": sum(n for n, trained in sizes if trained), "total": sum(n for n, _ in sizes)}
+
+
+def configure_generation(model, special: SpecialIds, settings: GenerationSettings | None = None):
+    """Pins the ids of generation on the model's own configuration and on that of generation, where it has them, and gives the model back."""
+    pinned = (settings or GenerationSettings()).pinned(special)
+    for holder in (getattr(model, "config", None), getattr(model, "generation_config", None)):
+        if holder is not None:
+            for name in ("pad_token_id", "bos_token_id", "eos_token_id", "decoder_start_token_id", "forced_eos_token_id"):
+                setattr(holder, name, pinned[name])
+    return model
+
+
+def imported(name: str) -> Callable[[], BatchSummarizer]:
+    """The factory that ``module:attribute`` names; how command lines name a model."""
+    from importlib import import_module
+
+    module, _, attribute = name.partition(":")
+    if not attribute:
+        raise ValueError("a model is named as module:attribute")
+    return getattr(import_module(module), attribute)
+
+
 class ModelRegistry:
     """A model for each name, made on first use, once a process."""
 

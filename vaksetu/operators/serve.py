@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PythonException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -59,12 +62,52 @@ def answer(df: DataFrame, method: str, make=None) -> dict:
     reason = validated(df).select("problem").first()
     if reason is None or reason["problem"]:
         return {"status": 422, "detail": reason["problem"] if reason else "no request"}
+    if method == "model" and make is None:
+        return {"status": 503, "detail": "no model is configured"}
     try:
         got = summarize_batch(df, method, make).first()["summaries"]
-    except RuntimeError as error:
-        return {"status": 503, "detail": str(error)}
+    except (RuntimeError, PythonException) as error:  # a model that fails does so in a worker
+        return {"status": 503, "detail": str(error)[:200]}
     return {"status": 200, "summaries": got, "method": method, "latency_ms": round((time.perf_counter() - began) * 1000, 2)}
 
 
 def health(make=None, name: str = "model") -> dict:
     return {"status": "ok", "model_configured": make is not None, "model_loaded": sequence.ModelRegistry.loaded(name)}
+
+
+_REQUEST = "request_id long, texts array<string>, method string, num_sentences int"
+
+
+def http_server(spark: SparkSession, make: Callable[[], sequence.BatchSummarizer] | None = None, host: str = "127.0.0.1", port: int = 8000) -> ThreadingHTTPServer:
+    """A thin adapter: ``GET /health`` and ``POST /summarize`` (texts, method: model by default, num_sentences: 1). One request is one small
+    DataFrame, judged and answered by the operators above; call ``serve_forever`` on what is returned. Batches of requests belong in
+    ``summarize_batch`` or a stream."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def reply(self, status: int, body: dict) -> None:
+            content = json.dumps(body, ensure_ascii=False).encode()
+            self.send_response(status)
+            self.send_header("Content-Type", "application/json; charset=utf-8")
+            self.send_header("Content-Length", str(len(content)))
+            self.end_headers()
+            self.wfile.write(content)
+
+        def do_GET(self) -> None:
+            self.reply(200, health(make)) if self.path == "/health" else self.reply(404, {"detail": "not found"})
+
+        def do_POST(self) -> None:
+            if self.path != "/summarize":
+                return self.reply(404, {"detail": "not found"})
+            try:
+                asked = json.loads(self.rfile.read(int(self.headers.get("Content-Length", 0))))
+                method = asked.get("method", "model")
+                row = spark.createDataFrame([(0, asked.get("texts"), method, asked.get("num_sentences", 1))], _REQUEST)
+            except Exception as error:  # whatever of a body is no request
+                return self.reply(422, {"detail": str(error)[:200]})
+            got = answer(row, method, make) if method in METHODS else {"status": 422, "detail": "method"}
+            self.reply(got.pop("status"), got)
+
+        def log_message(self, *_) -> None:
+            pass
+
+    return ThreadingHTTPServer((host, port), Handler)
