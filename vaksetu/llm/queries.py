@@ -140,4 +140,4 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_groups, p2_found, p2_counts, p2_statistics, p3_found, p3_labels, p4_found, p4_learned, p5_found, p5_counts, p5_coverage, p6_ids, p6_round_trip, p7_packs, p7_fill, p8_found, p8_forms)}
 
-SQL: dict[str, str] = {"p1_found": sql.P1_FOUND, "p2_counts": sql.P2_COUNTS, "p5_found": sql.P5_FOUND, "p8_found": sql.P8_FOUND}
+SQL: dict[str, str] = {"p1_found": sql.P1_FOUND, "p1_groups": sql.P1_GROUPS, "p2_counts": sql.P2_COUNTS, "p5_found": sql.P5_FOUND, "p5_counts": sql.P5_COUNTS, "p8_found": sql.P8_FOUND}

@@ -28,6 +28,15 @@ p AS (SELECT a, b FROM near UNION SELECT a.row_id, b.row_id FROM s a JOIN s b ON
 UNION SELECT a.row_id, b.row_id FROM s a JOIN s b ON a.said = b.said AND len(a.said) >= 8 AND a.row_id < b.row_id)
 SELECT a AS row_id_a, b AS row_id_b FROM p JOIN t x ON x.row_id = a JOIN t y ON y.row_id = b WHERE (x.split = 'train') <> (y.split = 'train')"""
 
+P5_COUNTS = f"""WITH f AS ({P5_FOUND}) SELECT y.split, y.source, count(DISTINCT y.row_id) AS eval_rows, count(DISTINCT x.row_id) AS train_rows, count(*) AS pairs
+FROM f JOIN processed x ON x.row_id IN (f.row_id_a, f.row_id_b) AND x.split = 'train' JOIN processed y ON y.row_id IN (f.row_id_a, f.row_id_b) AND y.split <> 'train' GROUP BY y.split, y.source"""
+
+P1_GROUPS = f"""WITH RECURSIVE {_NEAR}, k AS MATERIALIZED (SELECT text, min(row_id) AS class_id, count(*) AS n_copies FROM t WHERE text IS NOT NULL GROUP BY text),
+o AS MATERIALIZED (SELECT t.row_id, k.class_id, k.n_copies FROM t JOIN k ON k.text = t.text),
+l AS MATERIALIZED (SELECT DISTINCT x.class_id AS u, y.class_id AS v FROM (SELECT a, b FROM near UNION SELECT b, a FROM near) p JOIN o x ON x.row_id = p.a JOIN o y ON y.row_id = p.b WHERE x.class_id <> y.class_id),
+reach AS (SELECT u, v FROM l UNION SELECT reach.u, l.v FROM reach JOIN l ON l.u = reach.v), lowest AS (SELECT u, min(v) AS v FROM reach GROUP BY u), degree AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT o.row_id, o.class_id, o.n_copies, coalesce(d.n, 0) AS n_links, least(o.class_id, coalesce(m.v, o.class_id)) AS group_id FROM o LEFT JOIN degree d ON d.u = o.class_id LEFT JOIN lowest m ON m.u = o.class_id"""
+
 P2_COUNTS = rf"""WITH t AS (SELECT row_id, coalesce(text, '') AS text, {words("coalesce(text, '')")} AS w FROM processed),
 l AS (SELECT row_id, regexp_replace(text, '[{WS}]+', '', 'g') AS bare, w, list_filter(string_split(regexp_replace(text, '\r\n|[\r\x{{0B}}\x{{0C}}\x{{1C}}-\x{{1E}}\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '[{WS}]+', '', 'g') <> '') AS lines, known FROM t, (SELECT list(DISTINCT word) AS known FROM common_words) k)
 SELECT row_id, len(w) AS word_count, round(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) / greatest(len(w), 1), 6) AS mean_word_length,
