@@ -227,3 +227,44 @@ def test_one_key_for_two_texts(spark):
     assert {tuple(r) for r in neardup.candidates(rows).collect()} == {(7, 8), (7, 9)}
     found = neardup.verified(rows, neardup.cut(neardup.candidates(rows))).collect()
     assert {(bytes(r.da), bytes(r.db)) for r in found} == {(b"1", b"3"), (b"2", b"4")}
+
+
+def matched(spark, train, evaluation):
+    """Pairs of texts that the search of overlaps finds."""
+    sides = [neardup.keyed(frame(spark, list(enumerate(x))), "row_id", "text").select("k", "text", "d").repartition(3) for x in (train, evaluation)]
+    said = {r.k: r.text for side in sides for r in side.collect()}
+    found = overlap.passage_matches(*sides).collect()
+    assert len(found) == len(set(found))
+    return {(said[r.kt], said[r.ke]) for r in found}
+
+
+def test_phrase_of_many_texts_makes_no_pairs(spark):
+    """Two thirds of each text are a phrase of all: too little for texts near the same. Only those near the same are compared."""
+    phrase = " ".join(f"w{n}" for n in range(80))
+    train = [phrase + " " + " ".join(f"t{i}x{n}" for n in range(40)) for i in range(40)]
+    evaluation = [phrase + " " + " ".join(f"e{i}x{n}" for n in range(40)) for i in range(30)] + [train[3] + " end", "begin " + train[7]]
+    assert matched(spark, train, evaluation) == {(train[3], train[3] + " end"), (train[7], "begin " + train[7])}
+
+
+def test_fronts_hold_all_near_texts(spark):
+    """Texts of other lengths, also at exactly 0.6, of few words, in one shard and in many: no pair near the same is lost."""
+    random.seed(11)
+    vocabulary = [f"w{n}" for n in range(25)]
+    long_ = [random.choices(vocabulary, k=random.choice((3, 4, 8, 12, 40, 90))) for _ in range(60)] + [[f"v{n}" for n in range(size)] for size in (12, 102, 400)]
+    train, evaluation = [" ".join(x) for x in long_], ["", "w1 w2"]
+    for words_ in long_:
+        n = len(words_) - 2
+        evaluation += [" ".join(words_[: max(3, round(share * n) + 2)]) for share in (0.6, 0.62, 0.8)]
+        evaluation += [" ".join(words_ + [f"x{n}" for n in range(max(0, round(more * n)))]) for more in (0.1, 2 / 3)]
+        evaluation.append(" ".join(random.choice(vocabulary) if random.random() < 0.07 else w for w in words_))
+    near = {(a, b) for a in train for b in set(evaluation) if a != b and similarity(a, b) >= 0.6}
+    assert any(similarity(a, b) == 0.6 for a, b in near) and near <= matched(spark, train, evaluation)
+
+
+def test_more_shards_send_no_more(spark):
+    """Each passage goes to one shard: what is searched does not grow with their number."""
+    texts_ = neardup.keyed(frame(spark, list(enumerate(texts()))), "row_id", "text")
+    folder = overlap.new_folder(spark, "counts")
+    buckets = overlap.count_passages(texts_, folder)
+    sizes = {shards: sum(len(r.body) for r in overlap.fronts(texts_, folder, buckets, shards, 1).collect()) for shards in (1, 7, 60)}
+    assert sizes[1] > 0 and len(set(sizes.values())) == 1

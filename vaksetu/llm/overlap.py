@@ -2,17 +2,19 @@
 
 Passages of the evaluation texts are searched in all training texts by Aho-Corasick automata over sharded, normalised passages:
 
-1. A passage is a run of three words. Two texts are near the same only if 0.6 of the distinct runs of either are in the other, so of any
-   ``floor(0.4 n) + c`` runs of an evaluation text at least c stand in the training text (prefix filter). The rarest runs are taken, by
-   their counts over all evaluation texts, which reach the workers as a table of fixed size; c is a tenth of n.
-2. Evaluation texts are spread over shards; the automaton of a shard's passages, and which texts have them, are built once and written to
-   the shared folder.
-3. Each task turns its training texts to strings of symbols (two a word, from two alphabets, so that a match is always aligned with
-   words), without stretches that a bit table rules out, and runs every shard's automaton over them. Training texts are never shuffled. Pairs with fewer than c matches end here.
+1. A passage is a run of three words. The passages of each text are ordered by rarity, by their counts over all evaluation texts, which stand
+   in a table of bounded size in the shared folder. Two texts are near the same only if they have ``o = 0.375 (n + m)`` of their n and m passages
+   in common. Of those, the first ``LEAST_SHARED`` in this order stand so early in both texts that o can still follow (prefix and position filter):
+   only these fronts are searched, and a passage late in the front of one text counts only for shorter texts.
+2. The fronts of both sides are sent to shards by passage: each passage once, whatever the number of shards. What no evaluation text has is not sent.
+3. A shard's task builds the automaton of its evaluation passages in memory and runs it over the symbols of its training passages (two a word,
+   from two alphabets, so that a match is always aligned with words). Of two texts that both have a passage late nothing can follow; they
+   are not even paired, so that a phrase of many texts costs nothing where it is frequent. Pairs with too few matches in all shards end here.
 4. The others are checked exactly on all their runs.
 
 Coverage has all runs of the evaluation texts in its automata, at all their positions, and no least number of matches: what any training
-text has is marked, and the marked intervals are merged into the covered words of each evaluation record.
+text has is marked, and the marked intervals are merged into the covered words of each evaluation record. Its automata are sharded by text and
+written to the shared folder; each task runs all of them over its training texts, without stretches that a bit table rules out.
 
 With the pairs whose id numbers are equal, and those whose summaries have the same words in the same order, at least eight, this
 gives all overlaps.
@@ -38,11 +40,17 @@ from pyspark.sql import functions as F
 from ..runtime import cut
 from .joins import met
 from .neardup import BLOCK, THRESHOLD, blocks, keyed, list_array, verified
-from .store import file_system, new_folder
+from .store import file_system, new_folder, remove
 from .words import GOLDEN, U64, WordHasher, mix, words
 
 RUN, SUMMARY_WORDS = 3, 8
 EVALUATION = ("validation", "test")
+#: Passages that two texts near the same must share at the front, where they have ten times as many; fewer in shorter texts.
+LEAST_SHARED = 6
+#: Entries of the table of counts that orders the fronts: as many as the evaluation texts have passages, but at most so many; collisions only change the order.
+MOST_COUNTS, COUNTS_A_FILE = 1 << 26, 1 << 20
+#: Passages that a task gathers before it sends them, and pairs that it looks at together; both bound a worker's memory only.
+GATHERED, TOGETHER = 1 << 20, 1 << 20
 #: Passages of one automaton: bounds a worker's memory (about 150 bytes a passage), not the number of passages.
 SHARD_PASSAGES = 1_500_000
 #: Entries of the table of counts that orders passages by rarity; a fixed size, collisions only change the order.
@@ -78,12 +86,13 @@ def _bucket(keys: np.ndarray) -> np.ndarray:
 
 
 def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """(keys, word hashes, offsets) of the texts of each block that the task has not seen yet."""
+    """(keys, word hashes, offsets) of the texts of each block that the task has not seen yet, by the last column if there are three."""
     hasher, seen = WordHasher(), set()
     for batch in batches:
         for block in blocks(batch, BLOCK):
             keys = block.column(0).to_pylist()
-            fresh = [n for n, key in enumerate(keys) if key not in seen and not seen.add(key)]
+            names = block.column(2).to_pylist() if block.num_columns > 2 else keys
+            fresh = [n for n, name in enumerate(names) if name not in seen and not seen.add(name)]
             yield [keys[n] for n in fresh], *hasher.batch(block.column(1).take(pa.array(fresh, pa.int64())).to_pylist())
 
 
@@ -106,39 +115,216 @@ def passage_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def passages(texts: DataFrame, counts: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """(k, need, keys, ats): the rarest distinct passages of each evaluation text, where they first stand, and how many of them
-    a text near the same has at least."""
-    rarity = texts.sparkSession.sparkContext.broadcast(counts)  # COUNT_BUCKETS entries
+def _standing(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of a block's texts begin, and the number of the text of each."""
+    size = np.maximum(np.diff(offsets) - RUN + 1, 0)
+    return np.repeat(offsets[:-1] - np.cumsum(size) + size, size) + np.arange(size.sum()), np.repeat(np.arange(len(size)), size)
+
+
+def count_passages(texts: DataFrame, folder: str) -> int:
+    """Write how many texts have the passages of each bucket, up to 255, to the shared folder; returns the number of buckets."""
+    letters = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    buckets = 1 << min(MOST_COUNTS.bit_length() - 1, max(10, (letters // 5).bit_length()))
+    width = min(buckets, COUNTS_A_FILE)
+    files, path = file_system(folder)
+    files.create_dir(path, recursive=True)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, hashes, offsets in _fresh(batches):
+            at, doc = _standing(offsets)
+            run = _run_hash(hashes, at)
+            order = np.lexsort((run, doc))
+            run, doc = run[order], doc[order]
+            run = run[np.append(True, (run[1:] != run[:-1]) | (doc[1:] != doc[:-1]))[: len(run)]]
+            bucket = np.sort((run & U64(buckets - 1)).astype(np.int64))
+            part, first = np.unique(bucket // width, return_index=True)
+            bodies = [(x % width).astype(np.uint32).tobytes() for x in np.split(bucket, first[1:])] if len(part) else []
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(bodies, pa.binary())], names=["part", "body"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, body in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True):
+                some, times = np.unique(np.frombuffer(body, np.uint32), return_counts=True)
+                table = total.setdefault(part, np.zeros(width, np.uint8))
+                table[some] = np.minimum(table[some] + times, 255)
+        files, path = file_system(folder)
+        for part, table in total.items():
+            _write_arrays(files, path, f"counts-{part}", n=table)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(total), pa.int32())], names=["part"])
+
+    texts.select("k", "text", "d").mapInArrow(send, "part int, body binary").repartition(buckets // width, "part").mapInArrow(write, "part int").count()
+    return buckets
+
+
+def _counts(folder: str, buckets: int) -> np.ndarray:
+    from pyarrow import fs
+
+    files, path = file_system(folder)
+    width, out = min(buckets, COUNTS_A_FILE), np.zeros(buckets, np.uint8)
+    for part in range(buckets // width):
+        name = f"{path}/counts-{part}.npz"
+        if files.get_file_info(name).type != fs.FileType.NotFound:
+            with files.open_input_stream(name) as source:
+                out[part * width : (part + 1) * width] = np.load(io.BytesIO(source.read()))["n"]
+    return out
+
+
+def _least_shared(n: np.ndarray) -> np.ndarray:
+    return np.clip(n // 10, 1, LEAST_SHARED)
+
+
+def _front(hashes: np.ndarray, offsets: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """(text, run, passage, passages of its text, longest, count) of the passages at the front of each text of a block.
+
+    A text near the same with m passages has at least ``share * (n + m)`` in common with one of n. If the passage of rank i is one of the first c in
+    common, at most ``n - i + c - 1`` are: m is at most longest. Passages with no m left are not of the front."""
+    at, doc = _standing(offsets)
+    run = _run_hash(hashes, at)
+    count = counts[(run & U64(len(counts) - 1)).astype(np.int64)]
+    order = np.lexsort((run, doc * 256 + count))
+    order = order[np.append(True, (run[order[1:]] != run[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]]))[: len(order)]]
+    doc, run, at, count = doc[order], run[order], at[order], count[order]
+    n = np.bincount(doc, minlength=len(offsets) - 1)
+    rank, n = np.arange(len(doc)) - (np.cumsum(n) - n)[doc], n[doc]
+    share = threshold / (1 + threshold)
+    longest = np.floor((n - rank + _least_shared(n) - 1) / share - n + 1e-6).astype(np.int64)
+    front = longest >= threshold * n - 1e-6
+    return doc[front], run[front], _passage_key(hashes, at[front]), n[front], longest[front], count[front]
+
+
+def fronts(texts: DataFrame, folder: str, buckets: int, shards: int, side: int, threshold: float = THRESHOLD) -> DataFrame:
+    """(shard, side, task, body) of the passages at the fronts of the texts: side 0 are evaluation texts, 1 training texts, of which only passages that
+    evaluation texts may have are sent. A body has the columns of ``_opened``, one behind the other."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        counts, task = _counts(folder, buckets), TaskContext.get().partitionId()
+        gathered: list[tuple[np.ndarray, ...]] = []
+
+        def sent() -> pa.RecordBatch:
+            shard, *columns = map(np.concatenate, zip(*gathered, strict=True))
+            gathered.clear()
+            order = np.argsort(shard, kind="stable")
+            some, first = np.unique(shard[order], return_index=True)
+            bodies = [b"".join(p.tobytes() for p in parts) for parts in zip(*(np.split(c[order], first[1:]) for c in columns), strict=True)] if len(some) else []
+            size = len(some)
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(size, side, np.int32)), pa.array(np.full(size, task, np.int32)), pa.array(bodies, pa.binary())], names=["shard", "side", "task", "body"])
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = rarity.value
         for keys, hashes, offsets in _fresh(batches):
-            ks, needs, chosen, where = [], [], [], []
-            for n, k in enumerate(keys):
-                a, b = offsets[n], offsets[n + 1] - RUN + 1
-                if b <= a:
-                    continue
-                passage, first = np.unique(_passage_key(hashes, np.arange(a, b)), return_index=True)
-                need = max(1, int(SPARE * len(passage)))
-                keep = np.lexsort((passage, table[_bucket(passage)]))[: int((1 - threshold) * len(passage) + 1e-9) + need]
-                ks.append(k)
-                needs.append(need)
-                chosen.append(passage[keep])
-                where.append(first[keep])
-            if ks:
-                sizes = [len(c) for c in chosen]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ks, pa.int64()), pa.array(needs, pa.int32()), list_array(np.concatenate(chosen), np.array(sizes)), list_array(np.concatenate(where), np.array(sizes))],
-                    names=["k", "need", "keys", "ats"],
-                )
-
-    return texts.select("k", "text").mapInArrow(choose, "k bigint, need int, keys array<bigint>, ats array<bigint>")
+            text, run, passage, n, longest, count = _front(hashes, offsets, counts, threshold)
+            if side:
+                some = count > 0
+                text, run, passage, n, longest = text[some], run[some], passage[some], n[some], longest[some]
+            words_ = np.stack([(passage >> b & 0xFFFF).astype(np.uint16) for b in (32, 16, 0)], axis=1)
+            k = np.array(keys, np.int64)[text]
+            gathered.append(((run >> U64(32)) % U64(shards), words_, k, n.astype(np.int32), np.minimum(longest, 2**31 - 1).astype(np.int32)))
+            if sum(len(g[0]) for g in gathered) > GATHERED:
+                yield sent()
+        if gathered:
+            yield sent()
+
+    return texts.select("k", "text", "d").mapInArrow(send, "shard int, side int, task int, body binary")
+
+
+def _opened(body: bytes) -> tuple[np.ndarray, ...]:
+    """(words: 16 bits of each of the three, k, n, longest) of the passages of a body."""
+    size = len(body) // 22
+    return (
+        np.frombuffer(body, np.uint16, 3 * size).reshape(-1, 3), np.frombuffer(body, np.int64, size, 6 * size),
+        np.frombuffer(body, np.int32, size, 14 * size), np.frombuffer(body, np.int32, size, 18 * size),
+    )
+
+
+def _symbols(words_: np.ndarray) -> str:
+    """Six symbols and a space for each passage."""
+    code = np.full((len(words_), 2 * RUN + 1), 0x20, np.uint32)
+    code[:, 0:-1:2] = FIRST + (words_ >> 8)
+    code[:, 1:-1:2] = SECOND + (words_ & 0xFF)
+    return code.tobytes().decode("utf-32-le")
+
+
+class _Shard:
+    """The automaton of a shard's evaluation passages, and the texts that have each: those that have it early first."""
+
+    def __init__(self, bodies: list[bytes]) -> None:
+        import ahocorasick
+
+        words_, k, n, longest = (np.concatenate(c) for c in zip(*map(_opened, bodies), strict=True))
+        key = (words_.astype(np.int64) << np.array([32, 16, 0])).sum(axis=1)
+        order = np.lexsort((longest, k, longest < n, key))
+        key, k, n, longest = key[order], k[order], n[order], longest[order]
+        once = np.append(True, (key[1:] != key[:-1]) | (k[1:] != k[:-1]) | (longest[1:] != longest[:-1]) | (n[1:] != n[:-1]))  # several tasks may have one text
+        key, self.n, self.longest = key[once], n[once].astype(np.int64), longest[once]
+        self.k, self.owner = np.unique(k[once], return_inverse=True)
+        distinct, self.starts = np.unique(key, return_index=True)
+        self.starts = np.append(self.starts, len(key))
+        self.late = self.starts[:-1] + np.add.reduceat((self.longest >= self.n).astype(np.int64), self.starts[:-1])
+        symbols = _symbols(np.stack([(distinct >> b & 0xFFFF).astype(np.uint16) for b in (32, 16, 0)], axis=1))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for at in range(len(distinct)):
+            self.automaton.add_word(symbols[7 * at : 7 * at + 6], at)
+        self.automaton.make_automaton()
+
+    def matches(self, task: int, body: bytes, threshold: float) -> Iterator[pa.RecordBatch]:
+        """(task, kt, ke, n, need) of the training texts of a body: how many passages of the fronts two texts have in common here, and have at least."""
+        words_, k, n, longest = _opened(body)
+        k, text = np.unique(k, return_inverse=True)
+        n = n.astype(np.int64)
+        hits = np.fromiter(chain.from_iterable(self.automaton.iter(_symbols(words_))), np.int64).reshape(-1, 2)
+        entry, passage = hits[:, 0] // (2 * RUN + 1), hits[:, 1]
+        # two texts that both have a passage late, so that only shorter ones are left for either, have nothing to do with each other
+        early = longest[entry] >= n[entry]
+        size = np.where(early, self.starts[passage + 1], self.late[passage]) - self.starts[passage]
+        ends = np.cumsum(size)
+        a = 0
+        while a < len(size):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TOGETHER, side="right")))
+            some = size[a:b]
+            e = np.repeat(self.starts[passage[a:b]] - np.cumsum(some) + some, some) + np.arange(some.sum())
+            t = np.repeat(entry[a:b], some)
+            a = b
+            n_t, n_e = n[t], self.n[e]
+            fits = (n_t <= self.longest[e]) & (n_e <= longest[t]) & (n_t >= threshold * n_e - 1e-6) & (n_e >= threshold * n_t - 1e-6)
+            t, e = t[fits], e[fits]
+            pair, first, times = np.unique(text[t] * len(self.k) + self.owner[e], return_index=True, return_counts=True)
+            if len(pair):
+                columns = (np.full(len(pair), task), k[pair // len(self.k)], self.k[pair % len(self.k)], times, np.minimum(_least_shared(n[t[first]]), _least_shared(self.n[e[first]])))
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(kind)) for c, kind in zip(columns, (np.int32, np.int64, np.int64, np.int32, np.int32), strict=True)], names=["task", "kt", "ke", "n", "need"])
+
+
+def passage_matches(train: DataFrame, evaluation: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(kt, ke), once each: training and evaluation texts that share enough passages at their fronts, all those near the same among them."""
+    spark = train.sparkSession
+    folder = new_folder(spark, "counts")
+    buckets = count_passages(evaluation, folder)
+    shards = max(1, -(-buckets // SHARD_PASSAGES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bodies, built = None, [], None
+        for batch in batches:
+            for n in range(batch.num_rows):
+                shard, side, task, body = (batch.column(c)[n].as_py() for c in range(4))
+                if shard != now:
+                    now, bodies, built = shard, [], None
+                if side == 0:
+                    bodies.append(body)
+                elif bodies:
+                    built = built or _Shard(bodies)
+                    yield from built.matches(task, body, threshold)
+
+    sent = fronts(evaluation, folder, buckets, shards, 0, threshold).union(fronts(train, folder, buckets, shards, 1, threshold))
+    found = sent.repartition(shards, "shard").sortWithinPartitions("shard", "side").mapInArrow(search, "task int, kt bigint, ke bigint, n int, need int")
+    # a text that several tasks sent counts in each alone
+    pairs = cut(found.groupBy("task", "kt", "ke").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need AND kt <> ke").select("kt", "ke").distinct())
+    remove(folder)
+    return pairs
 
 
 def all_passages(texts: DataFrame, counts: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """(k, words, need, keys, runs, rare): the passages at all positions of each evaluation text, the hashes of their whole words, and
-    whether a passage is one of those that ``passages`` takes, at its first position."""
+    whether a passage is one of the rarest, at its first position: a text near the same has at least need of these."""
     rarity = texts.sparkSession.sparkContext.broadcast(counts)  # COUNT_BUCKETS entries
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,38 +417,9 @@ def _write(files, path: str, shard: int, distinct: np.ndarray, **arrays: np.ndar
     files.move(local, f"{path}/{shard}")
 
 
-def build_automata(chosen: DataFrame, folder: str, shards: int) -> None:
-    """Write each shard's automaton, and which texts have its passages, to the shared folder. A shard has about SHARD_PASSAGES
-    passages. A task that is run again writes the same files again."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple[int, int, np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            for n, (shard, k, need) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True)):
-                keys, ats = (batch.column(c)[n].values.to_numpy(zero_copy_only=False) for c in (3, 4))
-                parts.setdefault(shard, []).append((k, need, keys, ats))
-        files, path = file_system(folder)
-        for shard, texts in parts.items():
-            texts = list({t[0]: t for t in texts}.values())  # a text that several tasks had
-            sizes = np.array([len(t[2]) for t in texts])
-            keys, owner = np.concatenate([t[2] for t in texts]), np.repeat(np.arange(len(texts)), sizes)
-            order = np.argsort(keys, kind="stable")
-            distinct, starts = np.unique(keys[order], return_index=True)
-            _write(
-                files, path, shard, distinct, starts=np.append(starts, len(keys)), owner=owner[order], ats=np.concatenate([t[3] for t in texts])[order],
-                k=np.array([t[0] for t in texts]), need=np.array([t[1] for t in texts]),
-            )
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(parts), pa.int32())], names=["shard"])
-
-    files, path = file_system(folder)
-    files.create_dir(path, recursive=True)
-    sharded = chosen.select(F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int").alias("shard"), "k", "need", "keys", "ats")
-    sharded.repartition(shards, "shard").mapInArrow(build, "shard int").count()
-
-
 def build_whole_automata(chosen: DataFrame, folder: str, shards: int) -> None:
-    """As ``build_automata``, of the passages at all positions. The rare ones have their texts, as there; a file beside the automaton has
-    the texts as numbers of their runs, in order."""
+    """Write each shard's automaton of the passages at all positions, and which texts have the rare ones, to the shared folder; a file beside it
+    has the texts as numbers of their runs, in order. A shard has about SHARD_PASSAGES passages. A task that is run again writes the same files again."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, dict[int, tuple[int, np.ndarray, np.ndarray, np.ndarray]]] = {}
@@ -327,10 +484,6 @@ def _hits(automaton, strings: list[str]) -> list[np.ndarray]:
     return [np.fromiter(chain.from_iterable(automaton.iter(string)), np.int64).reshape(-1, 2) for string in strings]
 
 
-def _passages_hit(automaton, strings: list[str]) -> list[np.ndarray]:
-    return [np.array([value for _, value in automaton.iter(string)], np.int64) for string in strings]
-
-
 def _matches(holds: dict[str, np.ndarray], keys: list[int], hits: list[np.ndarray]) -> pa.RecordBatch | None:
     """Pairs of the texts and the shard's evaluation texts that have enough passages in common."""
     count = len(holds["k"])
@@ -363,32 +516,6 @@ def _matches(holds: dict[str, np.ndarray], keys: list[int], hits: list[np.ndarra
     return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["kt", "ke", "matched", "covered", "intervals"])
 
 
-def scan(texts: DataFrame, folder: str, shards: int) -> DataFrame:
-    """(kt, ke, matched, covered, intervals) of the pairs that have enough passages in common."""
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(keys, hashes, offsets, _filter_bits(hashes)) for keys, hashes, offsets in _fresh(batches) if keys]
-        # what the worker's last task left in memory comes first
-        for shard in sorted(range(shards), key=lambda s: (folder, s) not in _HELD):
-            loaded = _load(folder, shard) if held else None
-            if loaded:
-                for keys, hashes, offsets, at in held:
-                    if (batch := _matches(loaded[1], keys, _passages_hit(loaded[0], _stretches(hashes, offsets, at, loaded[1]["bits"])[0]))) is not None:
-                        yield batch
-
-    return texts.select("k", "text").mapInArrow(search, "kt bigint, ke bigint, matched bigint, covered bigint, intervals bigint")
-
-
-def passage_matches(train: DataFrame, evaluation: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(kt, ke, matched, covered, intervals): training and evaluation texts that share enough passages."""
-    chosen = cut(passages(evaluation, passage_counts(evaluation), threshold))
-    folder = new_folder(train.sparkSession, "automata")
-    total = chosen.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first()["n"]
-    shards = max(1, -(-total // SHARD_PASSAGES))
-    build_automata(chosen, folder, shards)
-    return scan(train, folder, shards)
-
-
 def text_overlaps(df: DataFrame, id_col: str = "row_id", text_col: str = "text", split_col: str = "split") -> tuple[DataFrame, DataFrame]:
     """(members (id, k, d, split), links (kt, ke, dt, de, similarity) of near-same texts of a training and an evaluation row)."""
     part = F.when(F.col(split_col).isin(*EVALUATION), "e").otherwise("t")
@@ -396,8 +523,7 @@ def text_overlaps(df: DataFrame, id_col: str = "row_id", text_col: str = "text",
     train = keyed(known.where(part == "t"), id_col, text_col)
     evaluation = keyed(known.where(part == "e"), id_col, text_col)
     texts = keyed(known, id_col, text_col)
-    matches = passage_matches(train, evaluation)
-    pairs = cut(matches.where("kt <> ke").select(F.col("kt").alias("ka"), F.col("ke").alias("kb")).distinct())
+    pairs = passage_matches(train, evaluation).select(F.col("kt").alias("ka"), F.col("ke").alias("kb"))
     links = verified(texts, pairs).select(F.col("ka").alias("kt"), F.col("kb").alias("ke"), F.col("da").alias("dt"), F.col("db").alias("de"), "similarity")
     members = known.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k"), F.unhex(F.md5(text_col)).alias("d"), F.col(split_col).alias("split"))
     return cut(members), links
@@ -457,7 +583,7 @@ def _marked(holds: dict[str, np.ndarray], hashes: np.ndarray, hits: list[np.ndar
 
 
 def scan_whole(texts: DataFrame, folder: str, shards: int) -> DataFrame:
-    """(shard, run) of the runs of evaluation texts that stand in a training text, and (kt, ke) of the pairs that ``scan`` finds."""
+    """(shard, run) of the runs of evaluation texts that stand in a training text, and (kt, ke) of the pairs that have enough rare passages in common."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(keys, hashes, offsets, _filter_bits(hashes)) for keys, hashes, offsets in _fresh(batches) if keys]
